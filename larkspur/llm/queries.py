@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, quality
-from larkspur.llm.common import read
+from larkspur.llm import bpe, digest, licenses, lines, quality, sharding, simhash, warc
+from larkspur.llm.common import read, scratch_path
 
 
 def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -33,5 +33,86 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_quality": op2_quality}
-SQL: dict[str, str] = {}
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        F.col("id").alias("doc_id"),
+        F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"),
+        F.col("component").alias("component_id"),
+    )
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "archives")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.summaries(spark, path)
+
+
+def op5_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    exact, spans = F.col("found.exact"), F.col("found.spans")
+    base = F.sort_array(F.array_distinct(F.transform(exact, lambda x: x["label"])))
+    likeness = F.transform(spans, lambda x: 1 - x["edits"] / x["notice_chars"])
+    return found.select(
+        "doc_id",
+        F.col("found.n_words").alias("n_words"),
+        F.size(exact).cast("long").alias("n_base"),
+        F.array_min(F.transform(exact, lambda x: x["word"])).alias("first_word"),
+        F.array_max(F.transform(exact, lambda x: x["word"])).alias("last_word"),
+        F.array_join(base, ",").alias("base_labels"),
+        F.array_join(F.sort_array(F.array_union(base, F.transform(spans, lambda x: x["label"]))), ",").alias("labels"),
+        F.greatest(F.coalesce(F.array_max(likeness), F.lit(0.0)), F.when(F.size(exact) > 0, 1.0).otherwise(0.0)).alias("score"),
+    )
+
+
+def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op9_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest.with_next(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
+
+
+def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    placed = sharding.by_bytes(read(spark, sf_dir, "documents"))
+    return placed.select(
+        F.col("id").alias("doc_id"), "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_quality": op2_quality,
+    "op3_simhash": op3_simhash,
+    "op4_warc": op4_warc,
+    "op5_licenses": op5_licenses,
+    "op6_lines": op6_lines,
+    "op9_digests": op9_digests,
+    "op10_shards": op10_shards,
+}
+
+_WORDS = "list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda w: w <> '')"
+
+SQL: dict[str, str] = {
+    "op4_warc": """
+        WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+        f AS (SELECT d, min(page_id) AS least FROM p WHERE n >= 100 GROUP BY d)
+        SELECT p.page_id, CAST(p.n AS BIGINT) AS payload_bytes, p.d AS payload_digest,
+               CASE WHEN least <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN least <> page_id THEN least END AS refers_to, true AS intact
+        FROM p LEFT JOIN f ON p.d = f.d
+    """,
+    "op6_lines": """
+        WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS at, unnest(ls) AS line
+                   FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
+        k AS (SELECT doc_id, at, line,
+                     translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+                               'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+        c AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
+        j AS (SELECT k.doc_id, at, line, coalesce(k.doc_id <> first, false) AS gone FROM k LEFT JOIN c ON k.key = c.key)
+        SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+        FROM j GROUP BY doc_id
+    """,
+}
