@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import ready_python, scratch, text_of
 
 BUCKETS = 256
-CAP = 160
+CAP = 256
 LENGTH_WEIGHT = 4
 #: One random permutation of the byte values for each place in a triplet.
 TABLES = [np.random.default_rng(k).permutation(256).astype(np.uint8) for k in range(3)]

@@ -63,3 +63,18 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars
         F.size("lines").cast("long").alias(free_name(docs, "n_lines")),
         F.greatest(F.size("gone"), F.lit(0)).cast("long").alias(free_name(docs, "n_dropped")),
     )
+
+
+def without_shared(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
+    """docs with the same rows and columns, their texts without dropped lines (empty if all were).
+
+    A null text stays null. A column n_chars, if there is one, follows the new text.
+    """
+    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
+    out = dedup(row, "id", "text", **limits)
+    lost = F.col("n_dropped") > 0
+    new = {text: F.when(lost, F.col("kept")).otherwise(F.col("text"))}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(lost, F.length("kept")).otherwise(F.col("r")["n_chars"])
+    kinds = dict(docs.dtypes)
+    return out.select(*[(new[c].cast(kinds[c]) if c in new else F.col("r")[c]).alias(c) for c in docs.columns])

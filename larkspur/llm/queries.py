@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from larkspur.llm import bpe, digest, licenses, lines, quality, sharding, simhash, warc
+import corpus_pipeline
+from larkspur.llm import bpe, digest, licenses, lines, packing, quality, sharding, simhash, toxicity, warc
 from larkspur.llm.common import read, scratch_path
 
 
@@ -70,6 +71,19 @@ def op6_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read(spark, sf_dir, "documents").select("doc_id", "text")).withColumnRenamed("id", "doc_id")
+
+
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, toxicity.training_rows(read(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs, model).select(F.col("r.doc_id").alias("doc_id"), "score")
+    return scored.select(
+        "doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= toxicity.THRESHOLD).cast("int").alias("predicted")
+    )
+
+
 def op9_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest.with_next(read(spark, sf_dir, "documents")).withColumnRenamed("id", "doc_id")
 
@@ -88,8 +102,11 @@ QUERIES = {
     "op4_warc": op4_warc,
     "op5_licenses": op5_licenses,
     "op6_lines": op6_lines,
+    "op7_packing": op7_packing,
+    "op8_toxicity": op8_toxicity,
     "op9_digests": op9_digests,
     "op10_shards": op10_shards,
+    "pipeline": corpus_pipeline.run,
 }
 
 _WORDS = "list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda w: w <> '')"
@@ -104,15 +121,15 @@ SQL: dict[str, str] = {
         FROM p LEFT JOIN f ON p.d = f.d
     """,
     "op6_lines": """
-        WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS at, unnest(ls) AS line
+        WITH l AS (SELECT doc_id, generate_subscripts(ls, 1) AS pos, unnest(ls) AS line
                    FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents)),
-        k AS (SELECT doc_id, at, line,
+        k AS (SELECT doc_id, pos, line,
                      translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
                                'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
         c AS (SELECT key, min(doc_id) AS first FROM k WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) >= 2),
-        j AS (SELECT k.doc_id, at, line, coalesce(k.doc_id <> first, false) AS gone FROM k LEFT JOIN c ON k.key = c.key)
+        j AS (SELECT k.doc_id, pos, line, coalesce(k.doc_id <> first, false) AS gone FROM k LEFT JOIN c ON k.key = c.key)
         SELECT doc_id, count(*) AS n_lines, count(*) FILTER (gone) AS n_dropped,
-               sha256(coalesce(string_agg(line, chr(10) ORDER BY at) FILTER (NOT gone), '')) AS kept_sha256
+               sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (NOT gone), '')) AS kept_sha256
         FROM j GROUP BY doc_id
     """,
 }
