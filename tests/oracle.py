@@ -8,15 +8,12 @@ DATA = Path("/root/testdata")
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 
-def rows(frame):
-    names = sorted(frame.columns)
-    return names, sorted(repr(tuple(map(str, r))) for r in frame[names].astype(object).itertuples(index=False, name=None))
-
-
 def same(spark, query, sql, sf):
     con = duckdb.connect()
     for t in TABLES:
         con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{DATA / sf / t}.parquet'")
-    ours, theirs = rows(query(spark, str(DATA / sf)).toPandas()), rows(con.sql(sql).df())
-    assert ours[0] == theirs[0]
-    assert ours[1] == theirs[1]
+    ours, theirs = query(spark, str(DATA / sf)), con.sql(sql)
+    names = sorted(ours.columns)
+    assert names == sorted(theirs.columns)
+    expected = theirs.select(*[duckdb.ColumnExpression(n) for n in names]).fetchall()
+    assert sorted(repr(tuple(r)) for r in ours.select(*names).collect()) == sorted(map(repr, expected))
