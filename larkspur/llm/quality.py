@@ -111,12 +111,16 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document: `r` (its columns), `m` (the measurements) and `failed` (bit k: rule k fails)."""
+    """One row per document: `r` (its columns), `m` (the measurements), `failed` (bit k: rule k fails) and `row`.
+
+    `row` numbers the rows of this run. A filter that reads it stays above the measurements, instead of
+    being pushed below them with a copy of each of their expressions.
+    """
     measured = measure(docs, text)
     fields = measured.schema["m"].dataType.fieldNames()
     flat = measured.select("r", "m", *[F.col("m")[f].alias(f) for f in fields])
     failed = sum((F.when(F.expr(test), F.lit(BIT[name])).otherwise(F.lit(0)) for name, test in RULES), F.lit(0))
-    return flat.select("r", "m", failed.cast("long").alias("failed"))
+    return flat.select("r", "m", failed.cast("long").alias("failed"), F.monotonically_increasing_id().alias("row"))
 
 
 def apply_policy(rows: DataFrame, policy: str = "v2") -> DataFrame:
@@ -135,5 +139,5 @@ def ablation(rows: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
     """The documents that a policy keeps, with their columns as they were."""
-    good = apply_policy(ledger(docs, text), policy).filter("kept")
+    good = apply_policy(ledger(docs, text), policy).filter("kept AND row >= 0")
     return good.select(*[F.col("r")[c].alias(c) for c in docs.columns])
