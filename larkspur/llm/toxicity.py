@@ -13,7 +13,7 @@ within a row. Without a training row of either class every score is 0.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,20 +58,25 @@ FEATURES = [
 ]
 
 
+#: Stripped from the ends of words.
+EDGES = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()) + "“”‘’„«»…–—¡¿"
+THRICE = re.compile(r"(.)\1\1+")
+
+#: Per code point below 0x250: letter, upper case, other than letter, digit or white space; the rest counts as letters.
+_KNOWN = [chr(c) for c in range(0x250)]
+CLASSES = np.array([[c.isalpha(), c.isupper(), not (c.isalnum() or c.isspace())] for c in _KNOWN] + [[True, False, False]], np.float64)
+
+
 def normal(word: str) -> str:
     """Lower case, without punctuation at the ends."""
-    word = unicodedata.normalize("NFC", word).lower()
-    return word.strip("".join(c for c in set(word) if not c.isalnum()))
+    return word.lower().strip(EDGES)
 
 
 def plain(word: str) -> str:
-    """Without common obfuscations: look-alikes, characters put between letters, letters repeated."""
-    word = "".join(c for c in word.translate(LEET) if c.isalpha())
-    out = word[:2]
-    for c in word[2:]:
-        if not (c == out[-1] == out[-2]):
-            out += c
-    return out
+    """Without common obfuscations: look-alikes, characters put between letters, letters said three times or more."""
+    if not word.isalpha():
+        word = "".join(c for c in word.translate(LEET) if c.isalpha())
+    return THRICE.sub(r"\1\1", word)
 
 
 def entries(word: str) -> list[str]:
@@ -80,29 +85,35 @@ def entries(word: str) -> list[str]:
 
 
 class _Codes(dict):
-    """token -> row of a table of what is known of it; emptied when full, which changes no result."""
+    """token -> row of a table of what is known of it; emptied between texts when full, which changes no result.
+
+    Columns: insult, learned odds, odds of a beginning, second person, capitals only, obfuscated, hidden insult, stretched.
+    """
 
-    MOST = 300_000
+    MOST = 400_000
 
     def __init__(self, lexicon: dict[str, float]):
         super().__init__()
-        self.lexicon, self.rows = lexicon, []
+        self.lexicon, self.table = lexicon, np.zeros((4096, 8), np.float32)
 
     def __missing__(self, token: str) -> int:
+        k, get = len(self), self.lexicon.get
+        if k == len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
         word = normal(token)
-        bare = plain(word)
+        alone = word.isalpha()
+        bare = word if alone and not THRICE.search(word) else plain(word)
+        known = get(word, 0.0)
+        begins = max(get(word[:n] + "-", 0.0) if len(word) > n else 0.0 for n in PREFIXES)
         hidden = bare != word and (bare in INSULTS or bare in self.lexicon)
-        alpha = sum(c.isalpha() for c in token)
-        known = self.lexicon.get(word, 0.0) or (self.lexicon.get(bare, 0.0) if hidden else 0.0)
-        begins = max((self.lexicon.get(x, 0.0) for x in entries(word)[1:]), default=0.0)
-        inner = token.strip(".,;:!?\"'()[]{}|#*$%&-")
-        self.rows.append((
-            word in INSULTS or (hidden and bare in INSULTS), known, begins, word in SECOND, alpha, sum(c.isupper() for c in token),
-            alpha > 1 and token.isupper(), token.count("!"), sum(not c.isalnum() for c in token),
-            alpha > 0 and any(not (c.isalpha() or c in "'’-") for c in inner), hidden, len(bare) < sum(c.isalpha() for c in word), len(token),
-        ))
-        self[token] = len(self.rows) - 1
-        return len(self.rows) - 1
+        if hidden:
+            known = known or get(bare, 0.0)
+        odd = not alone and any(c.isalpha() for c in word) and not word.replace("-", "").replace("'", "").replace("’", "").isalpha()
+        row = (word in INSULTS or (hidden and bare in INSULTS), known, begins, word in SECOND, len(word) > 1 and token.isupper(), odd, hidden, alone and bare != word)
+        if any(row):
+            self.table[k] = row
+        self[token] = k
+        return k
 
 
 def features_of(text: str, codes: _Codes) -> list[float]:
@@ -110,8 +121,9 @@ def features_of(text: str, codes: _Codes) -> list[float]:
     if not tokens:
         return [0.0] * len(FEATURES)
     at = np.fromiter(map(codes.__getitem__, tokens), np.int64, len(tokens))
-    used, where = np.unique(at, return_inverse=True)
-    table = np.array([codes.rows[k] for k in used], np.float64)[where]
+    table = codes.table[at].astype(np.float64)
+    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+    letters, upper, other = np.bincount(np.minimum(points, 0x250), minlength=0x251) @ CLASSES
     n = len(tokens)
     total = table.sum(axis=0)
     learned, begins = table[:, 1], table[:, 2]
@@ -125,9 +137,9 @@ def features_of(text: str, codes: _Codes) -> list[float]:
         near = int((gap <= NEAR).sum())
     count = int((learned > 0).sum())
     return [
-        np.log1p(n), total[0] / n, total[0], learned.sum() / n, count, learned.max(), learned.sum() / max(1, count),
-        (begins > 0).sum() / n, begins.max(), near, total[3] / n, total[5] / max(1, total[4]), total[6] / n, total[7] / n,
-        total[8] / max(1, total[12]), total[9] / n, total[10], total[11] / n,
+        np.log1p(n), total[0] / n, total[0], total[1] / n, count, learned.max(), total[1] / max(1, count),
+        (begins > 0).sum() / n, begins.max(), near, total[3] / n, upper / max(1, letters), total[4] / n, text.count("!") / n,
+        other / len(points), total[5] / n, total[6], total[7] / n,
     ]
 
 
@@ -171,7 +183,7 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
         .groupBy("entry").agg(F.sum("y").alias("hit"), F.sum(1 - F.col("y")).alias("miss"))
         .filter(F.col("hit") >= SUPPORT)
         .withColumn("odds", odds)
-        .filter("odds > 2 AND hit > 4 * miss")
+        .filter("odds > 2 AND hit > 12 * miss")
     )
     best = counts.orderBy(F.desc(F.col("odds") * F.log1p("hit")), "entry").limit(LEXICON)
     return {r["entry"]: r["odds"] for r in best.collect()}
