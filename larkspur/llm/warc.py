@@ -109,12 +109,14 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, revis
         .filter("n > 1 AND least IS NOT NULL")
         .select("digest", "least")
     )
+    # written first, so that its size is known: if it is small, the join need not shuffle the payloads
+    equal = scratch(equal, "equal")
     own = F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least"))
     rows = src.join(equal, "digest", "left").withColumn("first", own).withColumn("row", F.monotonically_increasing_id())
     records = rows.select(F.explode(made("page_id", "row", "url", "payload", "digest", "first")).alias("record"))
     # each record and its two blank lines are a "line" of these files
     out = records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END)
-    out.option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).option("compression", "none").text(path)
+    out.option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).option("compression", "gzip").text(path)
 
 
 def _parsed(archive: bytes) -> Iterator[dict]:
