@@ -109,9 +109,45 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-_WORDS = "list_filter(string_split(translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     '), ' '), lambda w: w <> '')"
-
 SQL: dict[str, str] = {
+    "op2_quality": """
+        WITH t AS (SELECT doc_id, coalesce(text, '') AS x,
+                          translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS y FROM documents),
+        b AS (SELECT doc_id, replace(y, ' ', '') AS bare, list_filter(string_split(y, ' '), lambda w: w <> '') AS ws,
+                     list_filter(string_split(x, chr(10)), lambda z: trim(z, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '') AS ls FROM t),
+        w AS (SELECT doc_id, unnest(ws) AS word, generate_subscripts(ws, 1) AS pos FROM b),
+        g AS (SELECT doc_id, pos, lead(word, 7) OVER (PARTITION BY doc_id ORDER BY pos) AS eighth,
+                     list(word) OVER (PARTITION BY doc_id ORDER BY pos ROWS BETWEEN CURRENT ROW AND 7 FOLLOWING) AS win FROM w),
+        r AS (SELECT doc_id, pos, count(*) OVER (PARTITION BY doc_id, win) AS n FROM g WHERE eighth IS NOT NULL),
+        c AS (SELECT doc_id, sum(least(8, pos - coalesce(prev, pos - 8))) AS n_repeat_words
+              FROM (SELECT doc_id, pos, lag(pos) OVER (PARTITION BY doc_id ORDER BY pos) AS prev FROM r WHERE n > 1) GROUP BY doc_id),
+        m AS (SELECT b.doc_id, len(ws) AS n_words, length(bare) AS word_chars,
+                     length(bare) - length(regexp_replace(bare, '[#*$%&|<>]+', '', 'g')) AS n_symbols,
+                     length(bare) - length(regexp_replace(bare, '\\p{Lu}+', '', 'g')) AS n_upper,
+                     length(bare) - length(regexp_replace(bare, '\\p{Ll}+', '', 'g')) AS n_lower,
+                     length(bare) - length(replace(bare, '!', '')) AS n_bangs,
+                     len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(list_distinct(ws)) AS n_distinct_words,
+                     coalesce(n_repeat_words, 0) AS n_repeat_words
+              FROM b LEFT JOIN c ON b.doc_id = c.doc_id),
+        f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
+        SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
+               NOT (base_failed OR 4 * n_symbols > n_words OR (n_upper > n_lower AND n_upper >= 20) OR 4 * n_bangs > n_words
+                    OR (n_dup_lines > 5 AND 100 * n_dup_lines > 50 * n_lines) OR word_chars > 40 * n_words OR word_chars < 2 * n_words
+                    OR (n_words >= 50 AND 20 * n_distinct_words < n_words AND n_distinct_words < 100)) AS kept
+        FROM f
+    """,
+    "op10_shards": """
+        WITH z AS (SELECT list(c ORDER BY k) AS tbl FROM (SELECT k, list_reduce(list_prepend(CAST(k AS UBIGINT), list_transform(range(8), lambda i: CAST(i AS UBIGINT))),
+                      lambda c, i: CASE WHEN c % 2 = 1 THEN xor(3988292384::UBIGINT, c // 2) ELSE c // 2 END) AS c FROM range(256) r(k))),
+        d AS (SELECT doc_id, coalesce(text, '') AS x, strlen(coalesce(text, '')) + 1 AS size FROM documents),
+        s AS (SELECT *, sum(size) OVER (ORDER BY doc_id) AS upto, sum(size) OVER () AS total FROM d),
+        p AS (SELECT *, CAST(least(7, (upto - size // 2 - 1) * 8 // total) AS INTEGER) AS shard FROM s)
+        SELECT doc_id, size, CAST(xor(4294967295::UBIGINT, list_reduce(list_prepend(4294967295::UBIGINT,
+                   list_transform(regexp_extract_all(hex(x), '..'), lambda h: CAST('0x' || h AS UBIGINT))),
+                   lambda c, b: xor(c // 256, tbl[CAST(xor(c, b) % 256 AS BIGINT) + 1]))) AS BIGINT) AS text_crc32, 'bytes' AS law, shard,
+               row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, CAST(NULL AS INTEGER) AS grown_shard
+        FROM p, z
+    """,
     "op4_warc": """
         WITH p AS (SELECT page_id, strlen(coalesce(html, '')) AS n, sha256(coalesce(html, '')) AS d FROM pages),
         f AS (SELECT d, min(page_id) AS least FROM p WHERE n >= 100 GROUP BY d)

@@ -2,8 +2,9 @@ import re
 from collections import Counter
 
 from larkspur.llm import quality
-from larkspur.llm.queries import op2_quality
+from larkspur.llm.queries import SQL, op2_quality
 from tests.llm.fixtures import TEXTS, documents, empty
+from tests.oracle import same
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -69,3 +70,7 @@ def test_keep_returns_rows_as_they_were(spark):
     assert kept.schema.names == df.schema.names
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(i for i, t in TEXTS if not failed(brute(t)))
     assert quality.keep(empty(spark)).count() == 0
+
+
+def test_query_gives_the_rows_of_its_sql(spark):
+    same(spark, op2_quality, SQL["op2_quality"], "sf0.001")

@@ -1,8 +1,9 @@
 import zlib
 
 from larkspur.llm import sharding
-from larkspur.llm.queries import op10_shards
+from larkspur.llm.queries import SQL, op10_shards
 from tests.llm.fixtures import TEXTS, documents, empty
+from tests.oracle import same
 
 
 def test_query_against_brute_force(spark):
@@ -30,3 +31,7 @@ def test_odd_documents(spark):
 def test_fewer_rows_than_shards(spark):
     df = spark.createDataFrame([(1, "a"), (2, "b" * 1000)], "doc_id long, text string")
     assert {r["id"]: r["slot"] for r in sharding.by_bytes(df).collect()} == {1: 0, 2: 0}
+
+
+def test_query_gives_the_rows_of_its_sql(spark):
+    same(spark, op10_shards, SQL["op10_shards"], "sf0.001")
