@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 
 def first_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
-    """The row of each key with the smallest order. Map-side minima, so that a hot key is one row per task."""
+    """The row of each key with the smallest order (no map columns). Map-side minima, so that a hot key is one row per task."""
     rest = [c for c in batch.columns if c not in (key, order)]
-    least = F.min(F.struct(order, *rest)).alias("s") if all(t != "map" for _, t in batch.dtypes) else F.min_by(F.struct(order, *rest), order).alias("s")
-    return batch.groupBy(key).agg(least).select(*[F.col(key) if c == key else F.col("s")[c].alias(c) for c in batch.columns])
+    least = F.min(F.struct(order, *rest))
+    return batch.groupBy(key).agg(least.alias("s")).select(*[F.col(key) if c == key else F.col("s")[c].alias(c) for c in batch.columns])
 
 
 def accepted(batch: DataFrame, key: str, order: str, existing: DataFrame | None = None) -> DataFrame:
