@@ -161,6 +161,11 @@ def catalog_describe(spark, d):
     return _two_tables(spark).describe()
 
 
+@query("SELECT 4007::BIGINT AS last_oid, 6::BIGINT AS n_objects, 6::BIGINT AS n_tables, 5::BIGINT AS n_columns")
+def show_meta(spark, d):
+    return _two_tables(spark).meta()
+
+
 def _two_tables(spark: SparkSession) -> Catalog:
     catalog = Catalog(spark)
     catalog.define("t_heap", [("id", "int64"), ("name", "varchar")])

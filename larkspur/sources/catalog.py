@@ -85,3 +85,8 @@ class Catalog:
             .select(F.col("t.name").alias("table_name"), F.col("c.pos").alias("pos"), F.col("c.name").alias("column_name"),
                     F.col("k.name").alias("type_name"), F.col("k.len").alias("len"), F.col("t.clustered_type").alias("clustered_type"))
         )
+
+    def meta(self) -> DataFrame:
+        """One row: the last oid given, and how many objects, tables and columns there are."""
+        told = (self.next_oid, len(self.object_rows), len(self.table_rows), len(self.column_rows))
+        return self.spark.createDataFrame([told], "last_oid long, n_objects long, n_tables long, n_columns long")
