@@ -14,7 +14,8 @@ from __future__ import annotations
 
 from bisect import bisect_left, insort
 
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -74,14 +75,21 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text: str = "text", length: Co
     n = max(1, -(-docs.count() // GROUP_ROWS))
     dealt = pieces.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)))
 
-    def packed(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "id", "piece"], ascending=[False, True, True], kind="stable")
-        bins, sizes = best_fit(rows["length"].tolist(), capacities, overhead)
-        rows["bin"] = bins
-        rows["capacity"] = rows["bin"].map(dict(enumerate(sizes)))
-        rows["slot"] = rows.groupby("bin").cumcount()
-        rows["bin"] += rows["group"] * 2**32
-        return rows[["id", "piece", "start", "length", "bin", "capacity", "slot"]]
+    def packed(rows: pa.Table) -> pa.Table:
+        rows = rows.take(pc.sort_indices(rows, [("length", "descending"), ("id", "ascending"), ("piece", "ascending")]))
+        bins, sizes = best_fit(rows["length"].to_pylist(), capacities, overhead)
+        first = rows["group"][0].as_py() << 32
+        used = [0] * len(sizes)
+        slots = []
+        for b in bins:
+            slots.append(used[b])
+            used[b] += 1
+        return pa.table({
+            **{c: rows[c] for c in ("id", "piece", "start", "length")},
+            "bin": pa.array([first + b for b in bins], pa.int64()),
+            "capacity": pa.array([sizes[b] for b in bins], pa.int32()),
+            "slot": pa.array(slots, pa.int32()),
+        })
 
     kind = dict(whole.dtypes)["id"]
-    return dealt.groupBy("group").applyInPandas(packed, f"id {kind}, piece int, start int, length int, bin long, capacity int, slot int")
+    return dealt.groupBy("group").applyInArrow(packed, f"id {kind}, piece int, start int, length int, bin long, capacity int, slot int")

@@ -52,3 +52,9 @@ def test_odd_documents(spark):
     check(rows, dict(lengths))
     assert {r["doc_id"] for r in rows} == {d for d, _ in TEXTS}
     assert packing.pack(empty(spark)).count() == 0
+
+
+def test_large_ids_beside_null_ids_stay_exact(spark):
+    ids = [2**60 + 1, None, 2**60 + 3]
+    df = spark.createDataFrame([(i, "a b c") for i in ids], "doc_id long, text string")
+    assert {r["id"] for r in packing.pack(df).collect()} == set(ids)
