@@ -128,20 +128,25 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
         .withColumn("to", F.lead("from").over(doc.orderBy("k")))
         .withColumn("whole", F.min(F.col("from").isNotNull()).over(doc))
     )
-    stitched = stitched.withColumn("to", F.coalesce("to", F.lit(2**31 - 1)))
-    offset = F.col("k") * stride
-    pieces = stitched.filter("whole").withColumn("ids", segment("t", "p.ends", F.col("from") - offset, F.col("to") - offset))
+    offset, agree = F.col("k") * stride, F.col("whole")
+    pieces = stitched.select(
+        "key", "k", "r", "whole",
+        segment(
+            F.when(agree, F.col("t")).otherwise(""),
+            F.when(agree, F.col("p.ends")).otherwise(F.array().cast("array<int>")),
+            F.coalesce(F.col("from"), F.lit(0)) - offset,
+            F.coalesce(F.col("to"), F.lit(2**31 - 1)) - offset,
+        ).alias("ids"),
+    )
     joined = pieces.groupBy("key").agg(
         F.first("r", ignorenulls=True).alias("r"),
+        F.first("whole").alias("whole"),
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"),
     )
-    body = F.when(F.col("k") == F.col("last"), F.col("t")).otherwise(F.substring("t", 1, stride))
-    put_together = stitched.filter("NOT whole").groupBy("key").agg(
-        F.first("r", ignorenulls=True).alias("r"),
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("k", body.alias("t")))), lambda x: x["t"]), "").alias("t"),
-    )
-    out_of_step = put_together.select("r", whole("t").alias("ids"))
-    ids = short.unionByName(joined.select("r", "ids")).unionByName(out_of_step)
+    # the first chunk carries the row, so that a document out of step can be encoded in one go
+    out_of_step = whole(F.when(agree, "").otherwise(F.col(f"r.`{text}`")))
+    joined = joined.withColumn("ids", F.when(agree, F.col("ids")).otherwise(out_of_step))
+    ids = short.unionByName(joined.select("r", "ids"))
     return ids.select(*[F.col("r")[c].alias(c) for c in docs.columns], F.col("ids").alias(free_name(docs, out)))
 
 

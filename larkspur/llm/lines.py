@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import free_name, text_of
+from larkspur.llm.common import free_name, scratch, text_of
 
 #: Stands for a null id.
 LAST = 2**63 - 1
@@ -52,7 +52,9 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars
     else:
         per_doc = keyed.groupBy("h", "g", "doc").agg(F.lit(1).alias("one"))
         counts = per_doc.groupBy("h", "g").agg(F.min("doc").alias("first"), F.count("*").alias("n")).filter(F.col("n") >= min_documents)
-    gone = keyed.join(counts.select("h", "g", "first"), ["h", "g"]).filter("doc != first")
+    # written, so that the join reads it directly and adaptive execution can split a hot key's rows
+    shared = scratch(counts.select("h", "g", "first"), "shared")
+    gone = keyed.join(shared, ["h", "g"]).filter("doc != first")
     places = gone.groupBy("row1", "row2").agg(F.collect_set("at").alias("gone"))  # of one document
     cut = src.join(places, ["row1", "row2"], "left").select("r", "gone", lines(F.col(f"r.`{text}`")).alias("lines"))
     places_left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))

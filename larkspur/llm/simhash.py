@@ -243,7 +243,8 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     named = prints.join(roots, prints["fingerprint"] == roots["node"], "left").select(
         "id", "fingerprint", F.coalesce("root", "fingerprint").alias("root")
     )
-    least = named.groupBy("root").agg(F.min("id").alias("component"))
+    # written, so that the join reads it directly and adaptive execution can split a hot group's rows
+    least = scratch(named.groupBy("root").agg(F.min("id").alias("component")), "least")
     return named.join(least, "root").select("id", "fingerprint", "component")
 
 

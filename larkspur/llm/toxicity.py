@@ -32,8 +32,9 @@ TRAIN_ROWS = 20_000
 FIT_PERCENT = 75
 #: Words and word beginnings in the learned lexicon, at most.
 LEXICON = 4_000
-#: Documents that a learned entry stands in, at least.
-SUPPORT = 6
+#: Toxic documents that a learned entry stands in, at least; and their share of the toxic ones, in per cent.
+SUPPORT = 4
+SUPPORT_PERCENT = 1
 PREFIXES = (4, 5, 6)
 NEAR = 6
 THRESHOLD = 0.7
@@ -176,12 +177,14 @@ def learn_lexicon(train: DataFrame) -> dict[str, float]:
     def marks(texts: pa.Array) -> pa.Array:
         return pa.array([sorted({e for w in set(t.split()) for e in entries(normal(w))}) for t in texts.to_pylist()], pa.list_(pa.string()))
 
+    train = train.dropDuplicates(["text"])  # copies of a text are one witness; a sample of bounded size
     n = train.agg(F.sum("y"), F.sum(1 - F.col("y"))).first()
+    support = max(SUPPORT, n[0] * SUPPORT_PERCENT // 100)
     odds = F.log((F.col("hit") + 0.5) / (n[0] + 1) / ((F.col("miss") + 0.5) / (n[1] + 1)))
     counts = (
         train.select("y", F.explode(marks("text")).alias("entry"))
         .groupBy("entry").agg(F.sum("y").alias("hit"), F.sum(1 - F.col("y")).alias("miss"))
-        .filter(F.col("hit") >= SUPPORT)
+        .filter(F.col("hit") >= support)
         .withColumn("odds", odds)
         .filter("odds > 2 AND hit > 12 * miss")
     )
