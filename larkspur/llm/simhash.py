@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from larkspur.llm.common import free_name, ready_python, scratch, text_of
 from larkspur.llm.components import components
+from larkspur.llm.lines import WHITE
 
 #: Rows of a part of a block.
 TILE = 256
@@ -275,15 +276,14 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
             })
         return pa.array(rows, pa.struct([("keys", pa.list_(pa.int64())), ("print", pa.binary()), ("shingles", pa.binary())]))
 
-    node = F.md5(text_of(F.col(f"`{text}`")))
-    sketched = docs.select(F.col(f"`{id_col}`").alias("id"), node.alias("node"), sketch(text_of(F.col(f"`{text}`"))).alias("s"))
+    whole = text_of(F.col(f"`{text}`"))
+    node = F.md5(F.when(F.btrim(whole, F.lit(WHITE)) == "", "").otherwise(whole))  # one node for all texts without words
+    sketched = docs.select(F.col(f"`{id_col}`").alias("id"), node.alias("node"), sketch(whole).alias("s"))
     table = scratch(sketched.select("id", "node", "s.*"), "sketches")
     keyed = table.select("node", F.posexplode("keys").alias("order", "key")).distinct()
     payload = table.groupBy("node").agg(F.first("print").alias("print"), F.first("shingles").alias("shingles"))
     dealt = tiles(keyed, ["order", "key"], "node").join(payload, "node")
-    empty = table.filter("size(keys) = 0").agg(F.min("node").alias("b")).filter("b IS NOT NULL")
-    silent = table.filter("size(keys) = 0").select(F.col("node").alias("a")).distinct().crossJoin(F.broadcast(empty))  # with one row
-    roots = scratch(components(_links(dealt, "node", radius, similarity).unionByName(silent)), "roots")
+    roots = scratch(components(_links(dealt, "node", radius, similarity)), "roots")
     named = table.select("id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))).alias("s"))
     stays = first.select(F.col("s.node").alias("near_node"), F.col("s.id").alias("near_id"))
