@@ -3,8 +3,9 @@
 A text is folded (A-Z lower-cased, every ASCII character that is no letter or digit a space) and its words
 are joined by single spaces. A notice of m characters with at most k edits allowed is cut into k + 1 seeds:
 by the pigeonhole principle one of them stands unchanged in every match. All seeds are searched at once
-by an Aho-Corasick automaton; around each hit the regex library's bounded-error matching (`{e<=k}`)
-decides and reports the span and its edits. The number of edits grows with the notice's length.
+by an Aho-Corasick automaton; from every word start that a hit allows, a banded edit distance decides over
+all runs of whole words and reports the span and its edits. The number of edits grows with the notice's
+length. Of overlapping matches of a notice that with the fewest edits is reported, the earliest of equals.
 
 Defined results: a null or empty text has no words, no spans and score 0. Every document is scanned
 whole, in one pass over its row; nothing is shuffled. Rows that repeat are scanned one by one.
@@ -12,11 +13,11 @@ whole, in one pass over its row; nothing is shuffled. Rows that repeat are scann
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass, field
 
 import ahocorasick
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -79,12 +80,11 @@ class Notice:
 
 
 class Scanner:
-    """Seeds of all notices in one automaton, and one bounded-error pattern for each notice."""
+    """Seeds of all notices in one automaton."""
 
     def __init__(self, notices: dict[str, str], exact: dict[str, str]):
         self.notices = [Notice(t, label) for t, label in notices.items()]
         self.exact = exact
-        self.patterns = [regex.compile(f"(?b)(?:{regex.escape(x.text)}){{e<={x.edits}}}") for x in self.notices]
         self.seeds = ahocorasick.Automaton()
         for k, x in enumerate(self.notices):
             for seed, at in x.seeds:
@@ -107,38 +107,69 @@ class Scanner:
         return sorted(out)
 
     def spans(self, folded: str) -> list[tuple[int, int, str, int, int]]:
-        """(start, end, label, edits, length of the notice) of matches, out to the ends of their words."""
-        windows: dict[int, list[list[int]]] = {}
+        """(start, end, label, edits, length of the notice) of matches, which are whole words.
+
+        Every hit is verified by itself, so no match hides another one of the same neighbourhood.
+        """
+        starts: dict[int, set[int]] = {}
         for end, hits in self.seeds.iter(folded):
             for k, at, size in hits:
-                x = self.notices[k]
-                lo = end - size + 1 - at - x.edits - 1
-                hi = lo + len(x.text) + 3 * x.edits + 2
-                own = windows.setdefault(k, [])
-                if own and lo <= own[-1][1]:
-                    own[-1][1] = max(own[-1][1], hi)
-                    own[-1][0] = min(own[-1][0], lo)
-                else:
-                    own.append([lo, hi])
+                # a match that holds the seed unchanged begins at most `edits` off the place that the seed tells
+                x, told = self.notices[k], end - size + 1 - at
+                hi = told + x.edits
+                space = folded.find(" ", max(told - x.edits - 1, 0), max(hi, 0))
+                while space >= 0:
+                    starts.setdefault(k, set()).add(space + 1)
+                    space = folded.find(" ", space + 1, hi)
         found = []
-        for k, own in windows.items():
+        for k, own in starts.items():
             x = self.notices[k]
-            for lo, hi in own:
-                lo, hi = max(lo, 0), min(hi, len(folded))
-                for m in self.patterns[k].finditer(folded, lo, hi):
-                    a, b = m.span()
-                    while a < b and folded[a] == " ":
-                        a += 1
-                    while b > a and folded[b - 1] == " ":
-                        b -= 1
-                    # the rest of a word at either end counts as edits
-                    first, last = folded.rfind(" ", 0, a) + 1, folded.find(" ", b)
-                    edits = sum(m.fuzzy_counts) + (a - first) + (last - b)
-                    if a < b and edits <= x.edits:
-                        found.append((first, last, x.label, edits, len(x.text)))
+            matches = [(edits, first, last) for first in own for last, edits in ends(folded, first, x.text, x.edits)]
+            found += [(first, last, x.label, edits, len(x.text)) for edits, first, last in apart(matches)]
         return sorted(set(found))
 
 
+def ends(folded: str, first: int, notice: str, most: int) -> list[tuple[int, int]]:
+    """(end, edits) of all runs of whole words from `first` on that are `most` edits or fewer off the notice."""
+    size, far = len(notice), most + 1
+    costs = [min(j, far) for j in range(size + 1)]  # edits between the text so far and the first j characters
+    out = []
+    for n in range(min(size + most, len(folded) - first - 1)):
+        char = folded[first + n]
+        if char == " " and n and costs[size] <= most:
+            out.append((first + n, costs[size]))
+        # only so many places off the diagonal can be within the bound
+        lo, hi = max(1, n + 1 - most), min(size, n + 1 + most)
+        corner = costs[lo - 1]
+        left = costs[lo - 1] = n + 1 if lo == 1 and n < most else far
+        least = left
+        for j in range(lo, hi + 1):
+            up = costs[j]
+            left = corner if notice[j - 1] == char else 1 + min(corner, up, left)
+            corner, costs[j] = up, left
+            if left < least:
+                least = left
+        if least > most:
+            return out
+    last = first + min(size + most, len(folded) - first - 1)
+    if folded[last] == " " and last > first and costs[size] <= most:
+        out.append((last, costs[size]))
+    return out
+
+
+def apart(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Of (edits, start, end) those that no better one overlaps: fewest edits first, then the earliest."""
+    starts, stops, kept = [], [], []
+    for edits, first, last in sorted(matches):
+        at = bisect_right(starts, first)
+        if (at and stops[at - 1] > first) or (at < len(starts) and starts[at] < last):
+            continue
+        starts.insert(at, first)
+        stops.insert(at, last)
+        kept.append((edits, first, last))
+    return kept
+
+
 def scan(docs: DataFrame, text: str = "text", out: str = "found", notices: dict[str, str] | None = None, exact: dict[str, str] | None = None) -> DataFrame:
     """docs with the struct `out`: n_words; exact (word, label); spans (word, start and end in the folded text, label, edits)."""
     ready_python(docs.sparkSession)

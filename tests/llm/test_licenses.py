@@ -1,3 +1,4 @@
+import random
 import re
 
 from larkspur.llm import licenses
@@ -62,3 +63,56 @@ def test_odd_documents(spark):
     for r in out:
         assert r["found_"]["n_words"] == base(r["text"])[0] and r["found"] == "found"
     assert licenses.scan(empty(spark)).count() == 0
+
+
+def distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        corner, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            corner, row[j] = row[j], min(corner + (x != y), row[j] + 1, row[j - 1] + 1)
+    return row[-1]
+
+
+def word_runs(folded, notice, allowed):
+    """(start, end) -> edits of all runs of whole words within the bound, by brute force."""
+    cuts = [k for k, c in enumerate(folded) if c == " "]
+    runs = [(a + 1, b) for a in cuts for b in cuts if abs(b - a - 1 - len(notice)) <= allowed and b > a + 1]
+    return {r: d for r in runs if (d := distance(folded[slice(*r)], notice)) <= allowed}
+
+
+def edited(rng, notice, kinds):
+    text = list(notice)
+    for kind in kinds:
+        k = rng.randrange(len(text))
+        text[k : k + (kind != "insert")] = {"insert": ["rdq "[rng.randrange(4)]], "delete": [], "change": ["q"]}[kind]
+    return "".join(text)
+
+
+def test_all_edits_against_brute_force():
+    rng = random.Random(5)
+    s = licenses.Scanner(licenses.NOTICES, licenses.EXACT)
+    for notice in licenses.NOTICES:
+        allowed = len(notice) // licenses.CHARS_PER_EDIT
+        one = licenses.Scanner({notice: "x"}, {})
+        for _ in range(40):
+            kinds = [[rng.choice(["insert", "delete", "change"]) for _ in range(rng.randrange(allowed + 2))] for _ in range(2)]
+            text = f"see {edited(rng, notice, kinds[0])} {rng.choice(['', 'or ', 'and some more words of '])}{edited(rng, notice, kinds[1])} by us"
+            folded, _ = s.fold(text)
+            want = word_runs(folded, notice, allowed)
+            found = one.spans(folded)
+            assert all(want[a, b] == e for a, b, _, e, _ in found)
+            # none overlap, and every run within the bound is reported or overlaps one that is no worse
+            assert all(x[1] <= y[0] for x, y in zip(found, found[1:]))
+            assert all(any(a < d and c < b and e <= n for c, d, _, e, _ in found) for (a, b), n in want.items())
+            assert {x[:2] for x in found} <= {x[:2] for x in s.spans(folded)}
+
+
+def told(text):
+    s = licenses.Scanner(licenses.NOTICES, licenses.EXACT)
+    folded, _ = s.fold(text)
+    return [(folded[a:b], label, e) for a, b, label, e, _ in s.spans(folded)]
+
+
+def test_an_edit_at_the_end_of_a_word():
+    assert told("see: All rights reserverd. by us") == [("all rights reserverd", "all-rights-reserved", 1)]
