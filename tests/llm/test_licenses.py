@@ -116,3 +116,9 @@ def told(text):
 
 def test_an_edit_at_the_end_of_a_word():
     assert told("see: All rights reserverd. by us") == [("all rights reserverd", "all-rights-reserved", 1)]
+
+
+def test_neighbours_are_told_one_by_one():
+    assert told("GNU General Public Licence / GNU General Public License") == [("gnu general public licence", "gpl", 1), ("gnu general public license", "gpl", 0)]
+    assert told("Apache Licence; Apache License") == [("apache licence", "apache", 1), ("apache license", "apache", 0)]
+    assert told("under the Apache Licence and Apache licensees") == [("apache licence", "apache", 1)]
