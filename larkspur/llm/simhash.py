@@ -25,15 +25,18 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import free_name, ready_python, scratch, text_of
+from larkspur.llm.common import drop_scratch, free_name, ready_python, scratch, text_of
 from larkspur.llm.components import components
 from larkspur.llm.lines import WHITE
 
 #: Rows of a part of a block.
 TILE = 256
 SEED = 42
-#: Keys of a document in near_dedup: it misses a pair of similarity s with probability (1 - s) ** KEYS.
+#: Keys of a document in the first pass of near_dedup; what they miss the second pass finds.
 KEYS = 6
+#: About so many texts tell which shingles are common, and so many shingles are told at most.
+SAMPLE_TEXTS = 5_000
+COMMON = 100_000
 MASK64 = (1 << 64) - 1
 
 
@@ -249,13 +252,87 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     return named.join(least, "root").select("id", "fingerprint", "component")
 
 
+def prefix_size(n: int, similarity: float) -> int:
+    """Two sets that are `similarity` alike share one of their first values, so many of n each, in any order of all values."""
+    return n - math.ceil(similarity * n - 1e-9) + 1
+
+
+def common_shingles(docs: DataFrame, text: Column, shingle: int) -> np.ndarray:
+    """Hashes of shingles that stand in several texts of a sample, rarest first. They only order: any order is right."""
+
+    @F.arrow_udf("array<long>")
+    def hashes(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+
+    share = SAMPLE_TEXTS / max(1, docs.count())
+    sample = docs.select(text.alias("text")).filter(F.rand(SEED) < share)
+    counts = sample.select(F.explode(hashes("text")).alias("h")).groupBy("h").agg(F.count("*").alias("n")).filter("n > 2")
+    found = counts.orderBy(F.desc("n"), "h").limit(COMMON).collect()  # COMMON rows at most
+    return np.array([r["h"] for r in reversed(found)], np.int64).view(np.uint64)
+
+
+def _similar(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) edges that connect all nodes of a tile whose sets are `similarity` alike; columns of dealt: tile, node, shingles."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in _packs(batches):
+            tile, names, left, right = pack.column(0).to_numpy(), pack.column(1).to_pylist(), [], []
+            sets = [np.frombuffer(x, np.uint32) for x in pack.column(2).to_pylist()]
+            cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1), len(tile)]
+            for lo, hi in zip(cuts, cuts[1:]):
+                if hi - lo == 2:
+                    sizes = len(sets[lo]), len(sets[lo + 1])
+                    if min(sizes) < similarity * max(sizes) - 1e-6:
+                        continue
+                    both = len(np.intersect1d(sets[lo], sets[lo + 1], assume_unique=True))
+                    root = [0, 0 if both / (sum(sizes) - both) >= similarity else 1]
+                else:
+                    root = forest(overlaps(sets[lo:hi]) >= similarity)
+                for k in range(hi - lo):
+                    if root[k] != k:
+                        left.append(names[lo + k])
+                        right.append(names[lo + root[k]])
+            if left:
+                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
+
+    return dealt.select("tile", "node", "shingles").repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a string, b string")
+
+
+def _missed(table: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+    """(a, b) edges among the groups of `roots`, with which all nodes that are `similarity` alike are connected.
+
+    Two such nodes share a value of their prefixes, so rows that agree in one are compared; but values that
+    stand in one group only, and values that the same rows share as another one, have nothing to add.
+    """
+    slim = table.groupBy("node").agg(F.first("prefix").alias("prefix")).join(roots, "node", "left").select(
+        F.monotonically_increasing_id().alias("nid"), "node", F.xxhash64(F.coalesce("root", "node")).alias("group"), "prefix"
+    )
+    slim = scratch(slim, "prefixes")
+    keyed = slim.select("nid", "group", F.explode("prefix").alias("key"))
+    ranges = keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
+    shared = scratch(ranges.filter("low != high").select("key"), "shared")
+    keyed = scratch(keyed.join(shared, "key").select("key", "nid"), "candidates")
+    blocks = keyed.groupBy("key").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "nid")).alias("y")
+    )
+    blocks = blocks.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
+    dealt = scratch(tiles(keyed.join(blocks, "key"), ["key"], "nid").join(slim.select("nid", "node"), "nid").select("tile", "node"), "dealt")
+    sets = table.join(dealt.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    edges = scratch(_similar(dealt.join(sets, "node"), similarity), "missed")
+    for done in (slim, shared, keyed, dealt):
+        drop_scratch(done)
+    return edges
+
+
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """docs without near copies: of each group one row stays, that with the smallest id (null ids come last).
 
     Two texts are linked if the Jaccard similarity of their sets of word shingles is `similarity` or more;
-    groups are the connected components. Blocks are the smallest values of KEYS hash orders of the
-    shingles; in a block, 256-bit SimHash fingerprints are compared bit-sliced within the radius that
-    `similarity` implies plus four deviations, and the shingle sets (32-bit hashes) of what is left decide.
+    groups are the connected components. A first pass ties most copies: blocks are the smallest values of
+    KEYS hash orders of the shingles; in a block, 256-bit SimHash fingerprints are compared bit-sliced
+    within the radius that `similarity` implies plus four deviations, and the shingle sets (32-bit hashes)
+    of what is left decide. A second pass finds every link that is missing among these groups, by the
+    shingles' prefixes in one order (common shingles last), which no pair of that similarity escapes.
     Equal texts are one node from the start. Of rows equal in id and text one stays. Texts without words are
     copies of each other.
     """
@@ -264,19 +341,29 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     p = math.acos(2 * similarity / (1 + similarity)) / math.pi
     radius = math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
 
-    @F.arrow_udf("struct<keys:array<long>,print:binary,shingles:binary>")
+    whole = text_of(F.col(f"`{text}`"))
+    common = common_shingles(docs, whole, shingle)
+    order = np.argsort(common)
+    common, places = common[order], order + 1
+
+    @F.arrow_udf("struct<keys:array<long>,prefix:array<long>,print:binary,shingles:binary>")
     def sketch(texts: pa.Array) -> pa.Array:
         rows = []
         for t in texts.to_pylist():
             h = np.unique(shingle_hashes(t, shingle))
+            late = np.zeros(len(h), np.int64)
+            if len(common):
+                at = np.minimum(np.searchsorted(common, h), len(common) - 1)
+                late = np.where(common[at] == h, places[at], 0)
+            first = np.lexsort((h, late))[: prefix_size(len(h), similarity)] if len(h) else []
             rows.append({
+                "prefix": h[first].view(np.int64) if len(h) else [],
                 "keys": [int(mix(h, k).min().view(np.int64)) for k in range(1, KEYS + 1)] if len(h) else [],
                 "print": b"".join(majority(mix(h, 100 + k)) for k in range(bits // 64)),
                 "shingles": np.unique(h.astype(np.uint32)).tobytes(),
             })
-        return pa.array(rows, pa.struct([("keys", pa.list_(pa.int64())), ("print", pa.binary()), ("shingles", pa.binary())]))
+        return pa.array(rows, pa.struct([("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("print", pa.binary()), ("shingles", pa.binary())]))
 
-    whole = text_of(F.col(f"`{text}`"))
     node = F.md5(F.when(F.btrim(whole, F.lit(WHITE)) == "", "").otherwise(whole))  # one node for all texts without words
     sketched = docs.select(F.col(f"`{id_col}`").alias("id"), node.alias("node"), sketch(whole).alias("s"))
     table = scratch(sketched.select("id", "node", "s.*"), "sketches")
@@ -284,6 +371,9 @@ def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shin
     payload = table.groupBy("node").agg(F.first("print").alias("print"), F.first("shingles").alias("shingles"))
     dealt = tiles(keyed, ["order", "key"], "node").join(payload, "node")
     roots = scratch(components(_links(dealt, "node", radius, similarity)), "roots")
+    missed = _missed(table, roots, similarity)
+    if not missed.isEmpty():
+        roots = scratch(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed)), "roots")
     named = table.select("id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))).alias("s"))
     stays = first.select(F.col("s.node").alias("near_node"), F.col("s.id").alias("near_id"))

@@ -140,3 +140,24 @@ def test_near_dedup_of_odd_documents(spark):
     assert simhash.near_dedup(empty(spark)).count() == 0
     twice = spark.createDataFrame([(5, "same text of the same id")] * 3, "doc_id long, text string")
     assert simhash.near_dedup(twice).count() == 1
+
+
+def test_near_dedup_finds_short_copies(spark):
+    """Similarity is exactly 0.8: the SimHash radius or the min-hash keys miss some of these pairs."""
+    rng = random.Random(6)
+    rows = []
+    for k in range(600):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(9 if k % 2 else 19)]
+        end = words[:8] if k % 2 else words[:16]
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(end))]
+    out = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == list(range(0, 1200, 2))
+
+
+def test_prefixes_of_similar_sets_meet():
+    for n in range(1, 60):
+        for m in range(n, 76):
+            for both in range(1, n + 1):
+                if both / (n + m - both) >= 0.8:
+                    # at worst all values that they do not share come first
+                    assert n - both < simhash.prefix_size(n, 0.8) and m - both < simhash.prefix_size(m, 0.8)
