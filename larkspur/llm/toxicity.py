@@ -4,7 +4,8 @@ Features are densities of a fixed lexicon of insults and of a lexicon learned fr
 (words and word beginnings that mark toxic ones), also after undoing common obfuscations; the nearness of
 second-person pronouns; rates of capitals, punctuation and obfuscated words. Trees are fitted by Spark ML
 on FIT_SHARE of the training sample, and an isotonic regression on the rest turns their margin into a
-probability. Labels are read from training rows alone; ids, languages and sources are no features.
+probability; a part that lacks a class gives way to the whole sample. Labels are read from training
+rows alone; ids, languages and sources are no features.
 
 Defined results: a null or empty text has all features 0 and gets a score like any other. Documents
 whose label is null or missing train nothing; of several labels of an id the largest counts. Scoring is
@@ -196,22 +197,28 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str =
     """A model from labels (id, label 0/1); give it the training rows alone."""
     ready_python(docs.sparkSession)
     known = labels.filter(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label).cast("int").alias("y"))
-    share = min(1.0, TRAIN_ROWS / max(1, known.count()))
+    counts = {r["y"]: r["count"] for r in known.groupBy("y").count().collect()}
+    share = min(1.0, TRAIN_ROWS / max(1, sum(counts.values())))
     place = F.pmod(F.xxhash64("id"), F.lit(1_000_000))
     drawn = known.filter(place < int(share * 1_000_000))
+    if share < 1:  # a class too rare to be drawn is drawn by its own count
+        for y in counts.keys() - {r["y"] for r in drawn.select("y").distinct().collect()}:
+            drawn = drawn.unionByName(known.filter((F.col("y") == y) & (place < int(min(1.0, TRAIN_ROWS / counts[y]) * 1_000_000))))
     part = F.pmod(F.xxhash64(F.lit(7), "id"), F.lit(100)) < FIT_PERCENT
     # a table of TRAIN_ROWS small rows, or few more
     train = docs.select(F.col(f"`{id_col}`").alias("id"), text_of(F.col(f"`{text}`")).alias("text")).join(F.broadcast(drawn), "id")
     train = scratch(train.select("text", "y", part.alias("fits")), "train")
-    lexicon = learn_lexicon(train.filter("fits")) if train.filter("fits AND y = 1").count() else {}
+    kinds = {(r["fits"], r["y"]) for r in train.select("fits", "y").distinct().collect()}
+    if len({y for _, y in kinds}) < 2:
+        return Model({}, None, None)
+    # a part that lacks a class gives way to all training rows
+    fitting, calibrating = (part if {(fits, 0), (fits, 1)} <= kinds else "true" for fits, part in ((True, "fits"), (False, "NOT fits")))
+    lexicon = learn_lexicon(train.filter(fitting))
     # a sample of bounded size: a few partitions do for the many short jobs of the fit
     table = scratch(train.select("y", "fits", _features(F.col("text"), lexicon).alias("f")).coalesce(4), "features")
     table = table.select(F.col("y").cast("double").alias("y"), "fits", array_to_vector("f").alias("features")).coalesce(4)
-    kinds = {(r["fits"], r["y"]) for r in table.select("fits", "y").distinct().collect()}
-    if len(kinds) < 4:
-        return Model(lexicon, None, None)
-    trees = GBTClassifier(labelCol="y", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, seed=1, maxMemoryInMB=64).fit(table.filter("fits"))
-    rest = _margin(trees.transform(table.filter("NOT fits")))
+    trees = GBTClassifier(labelCol="y", featuresCol="features", maxIter=20, maxDepth=4, stepSize=0.2, seed=1, maxMemoryInMB=64).fit(table.filter(fitting))
+    rest = _margin(trees.transform(table.filter(calibrating)))
     line = IsotonicRegression(labelCol="y", featuresCol="margin").fit(rest.select("y", "margin"))
     return Model(lexicon, trees, line)
 

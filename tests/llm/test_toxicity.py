@@ -1,6 +1,9 @@
 import random
 import zlib
 
+import pytest
+from pyspark.sql import functions as F
+
 from larkspur.llm import toxicity
 from larkspur.llm.queries import op8_toxicity
 from tests.llm.fixtures import TEXTS, documents, empty
@@ -56,3 +59,17 @@ def test_query(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     clean = [r for r in rows if labels.get(r["doc_id"]) == 0 and r["held_out"]]
     assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
+
+
+@pytest.mark.parametrize("few,elsewhere,most", [("fits", 1, 900), ("NOT fits", 1, 900), ("fits", 0, 900), ("place > 400000", 1, 300)])
+def test_few_rows_of_a_class_train(spark, monkeypatch, few, elsewhere, most):
+    """All rows of a class are in the part that fits, or in that which calibrates, or outside of what is drawn."""
+    monkeypatch.setattr(toxicity, "TRAIN_ROWS", most)
+    docs, labels, rows = corpus(spark)
+    told = labels.withColumn("fits", F.pmod(F.xxhash64(F.lit(7), "doc_id"), F.lit(100)) < toxicity.FIT_PERCENT)
+    told = told.withColumn("place", F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)))
+    model = toxicity.fit(docs, told.filter(f"toxic != {elsewhere} OR ({few})").select("doc_id", "toxic"))
+    assert model.trees is not None
+    scored = {r["id"]: r["score"] for r in toxicity.score(docs, model).selectExpr("r.doc_id AS id", "score").collect()}
+    mean = [sum(scored[k] for k, _, y in rows if y == c) / sum(y == c for _, _, y in rows) for c in (0, 1)]
+    assert mean[1] > mean[0] + 0.5
