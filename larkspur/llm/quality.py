@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import text_of
+from larkspur.llm.common import scratch, text_of
 
 WHITE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
@@ -110,17 +110,18 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     return step.select(F.col("r"), measured.alias("m"))
 
 
-def ledger(docs: DataFrame, text: str = "text") -> DataFrame:
-    """One row per document: `r` (its columns), `m` (the measurements), `failed` (bit k: rule k fails) and `row`.
+def ledger(docs: DataFrame, text: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """One row per document: `r` (its columns, or those named), `m` (the measurements) and `failed` (bit k: rule k fails).
 
-    `row` numbers the rows of this run. A filter that reads it stays above the measurements, instead of
-    being pushed below them with a copy of each of their expressions.
+    It is written, so that policies and ablations read stored bits and no rule is evaluated twice.
     """
     measured = measure(docs, text)
+    if keep is not None:
+        measured = measured.withColumn("r", F.struct(*[F.col("r")[c].alias(c) for c in keep]))
     fields = measured.schema["m"].dataType.fieldNames()
     flat = measured.select("r", "m", *[F.col("m")[f].alias(f) for f in fields])
     failed = sum((F.when(F.expr(test), F.lit(BIT[name])).otherwise(F.lit(0)) for name, test in RULES), F.lit(0))
-    return flat.select("r", "m", failed.cast("long").alias("failed"), F.monotonically_increasing_id().alias("row"))
+    return scratch(flat.select("r", "m", failed.cast("long").alias("failed")), "ledger")
 
 
 def apply_policy(rows: DataFrame, policy: str = "v2") -> DataFrame:
@@ -139,5 +140,5 @@ def ablation(rows: DataFrame) -> DataFrame:
 
 def keep(docs: DataFrame, policy: str = "v2", text: str = "text") -> DataFrame:
     """The documents that a policy keeps, with their columns as they were."""
-    good = apply_policy(ledger(docs, text), policy).filter("kept AND row >= 0")
+    good = apply_policy(ledger(docs, text), policy).filter("kept")
     return good.select(*[F.col("r")[c].alias(c) for c in docs.columns])
