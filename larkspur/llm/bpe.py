@@ -1,11 +1,15 @@
 """Operator 1: byte-level BPE encoding by overlapping chunks, and decoding.
 
-Texts of up to `chunk_chars` code points are pre-tokenised in one go. Longer ones are cut into chunks that
-overlap by `overlap` code points; every chunk is pre-tokenised on its own, in parallel. A boundary depends
-on the text after it alone, so from the first boundary that two neighbours agree on, in their overlap, the
-later chunk's boundaries are those of the whole text. Each chunk then encodes its pieces between its own
-agreed boundary and the next chunk's. Where two neighbours agree on none (one run of letters longer than
-the overlap, say) the document is put together again and pre-tokenised whole.
+A text of more than `chunk_chars` code points is cut into chunks that overlap; every chunk is pre-tokenised
+on its own, in parallel. A boundary depends on the text after it alone, so from the first boundary that two
+neighbours agree on, in their overlap, the later chunk's boundaries are those of the whole text. Each chunk
+then encodes its pieces between its own agreed boundary and the next chunk's. A shorter text is one chunk,
+which agrees with itself, and needs no shuffle.
+
+Chunks begin where a white-space run and characters on both sides of it lie within the overlap, so that
+neighbours meet; a run of characters without white space is never cut, and the chunk that holds it is as
+long. With a pattern whose matches run over white space neighbours may still agree nowhere; such a text is
+taken as one chunk.
 
 Defined results: a null text encodes as the empty text (no ids), null ids decode to the empty bytes. Rows
 that repeat, null keys and columns of any name pass through; the result has one row per input row.
@@ -23,7 +27,7 @@ import tiktoken
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import ready_python, free_name, text_of
+from larkspur.llm.common import free_name, ready_python, scratch, text_of
 
 #: Of the shared cache of encoded pieces in a Python worker; it is emptied when full, which changes no result.
 CACHE_PIECES = 400_000
@@ -43,6 +47,10 @@ class Vocabulary:
             return cls(f.read(), pattern)
 
 
+#: White space between other characters: every pre-token ends before it or begins in it.
+GAP = regex.compile(r"\S\s+\S")
+
+
 @lru_cache(maxsize=4)
 def _coder(ranks_file: bytes, pattern: str):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
@@ -50,6 +58,11 @@ def _coder(ranks_file: bytes, pattern: str):
     return _Pieces(coder), regex.compile(pattern)
 
 
+@lru_cache(maxsize=4)
+def _bytes_of(ranks_file: bytes) -> dict[int, bytes]:
+    return {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks_file.splitlines())}
+
+
 class _Pieces(dict):
     """piece -> its ids as packed 32-bit integers."""
 
@@ -64,6 +77,32 @@ class _Pieces(dict):
         return found
 
 
+def starts(text: str, chunk_chars: int, overlap: int) -> list[int]:
+    """Where the chunks of a text begin."""
+    out = [0]
+    while len(text) - out[-1] > chunk_chars:
+        at = out[-1] + chunk_chars - overlap
+        gap = GAP.search(text, at)
+        if gap is None:
+            break
+        if gap.end() > at + overlap - MARGIN:  # a long run of characters, or of white space
+            at = max(at, min(gap.start(), gap.end() - overlap + MARGIN))
+        out.append(at)
+    return out
+
+
+def pieces_of(pattern: regex.Pattern, text: str, first: int = 0, last: int | None = None) -> list[str]:
+    """The matches from boundary `first` on, up to boundary `last` (the text's end)."""
+    if last is None and not pattern.groups:
+        return pattern.findall(text, first)
+    out = []
+    for m in pattern.finditer(text, first):
+        if last is not None and m.end() > last:
+            break
+        out.append(m.group())
+    return out
+
+
 def _id_lists(packed: list[bytes]) -> pa.Array:
     ends = np.cumsum([0, *(len(x) // 4 for x in packed)], dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(packed), dtype="<i4")))
@@ -72,92 +111,80 @@ def _id_lists(packed: list[bytes]) -> pa.Array:
 def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str = "ids",
            chunk_chars: int = 32_768, overlap: int = 1_024) -> DataFrame:
     """docs with the column `out` (array<int>): the ids of the whole text, each match of the pattern encoded by itself."""
-    if not MARGIN < overlap <= chunk_chars // 2:
-        raise ValueError("overlap must be over 4 and at most half of chunk_chars")
+    if not 2 * MARGIN < overlap <= chunk_chars // 2:
+        raise ValueError("overlap must be over 8 and at most half of chunk_chars")
     spark = docs.sparkSession
     ready_python(spark)
     shipped = spark.sparkContext.broadcast((vocabulary.ranks_file, vocabulary.pattern))
-    stride = chunk_chars - overlap
-
-    @F.arrow_udf("array<int>")
-    def whole(texts: pa.Array) -> pa.Array:
-        coder = _coder(*shipped.value)[0].coder  # splits by the same pattern
-        return _id_lists([coder.encode_to_numpy(t, disallowed_special=()).astype("<i4").tobytes() for t in texts.to_pylist()])
 
-    @F.arrow_udf("array<string>")
+    @F.arrow_udf("array<struct<start:int,t:string,head:boolean,tail:boolean>>")
     def chunks(texts: pa.Array) -> pa.Array:
-        cut = [[t[i : i + chunk_chars] for i in range(0, max(len(t) - overlap, 1), stride)] for t in texts.to_pylist()]
-        return pa.array(cut, pa.list_(pa.string()))
-
-    @F.arrow_udf("struct<ends:array<int>,head:array<int>,tail:array<int>>")
-    def pretokenise(texts: pa.Array, numbers: pa.Array, last: pa.Array) -> pa.Array:
+        rows = []
+        for t in texts.to_pylist():
+            at = starts(t, chunk_chars, overlap)
+            stops = [*(x + overlap for x in at[1:]), len(t)]
+            rows.append([{"start": i, "t": t[i:j], "head": i > 0, "tail": j < len(t)} for i, j in zip(at, stops)])
+        return pa.array(rows, pa.list_(pa.struct([("start", pa.int32()), ("t", pa.string()), ("head", pa.bool_()), ("tail", pa.bool_())])))
+
+    @F.arrow_udf("struct<head:array<int>,tail:array<int>>")
+    def pretokenise(texts: pa.Array, begin: pa.Array, head: pa.Array, tail: pa.Array) -> pa.Array:
+        """Boundaries in the overlaps with the chunks before and after, in code points of the whole text."""
         (_, pattern), rows = _coder(*shipped.value), []
-        for t, k, is_last in zip(texts.to_pylist(), numbers.to_pylist(), last.to_pylist()):
+        for t, at, has_head, has_tail in zip(*(x.to_pylist() for x in (texts, begin, head, tail))):
             ends = np.fromiter((m.end() for m in pattern.finditer(t)), np.int32)
-            sure = ends if is_last else ends[ends <= len(t) - MARGIN]
-            # both in code points of the whole text
-            head = np.concatenate([[0], ends[ends <= overlap]]) + k * stride
-            tail = sure[sure >= stride] + k * stride
-            rows.append({"ends": ends, "head": head, "tail": tail})
-        return pa.array(rows, pa.struct([(x, pa.list_(pa.int32())) for x in ("ends", "head", "tail")]))
+            ends = ends[ends <= len(t) - MARGIN] if has_tail else ends
+            rows.append({
+                "head": np.concatenate([[0], ends[ends <= overlap]]) + at if has_head else [],
+                "tail": ends[ends >= len(t) - overlap] + at if has_tail else [],
+            })
+        return pa.array(rows, pa.struct([(x, pa.list_(pa.int32())) for x in ("head", "tail")]))
 
     @F.arrow_udf("array<int>")
-    def segment(texts: pa.Array, ends: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
-        pieces, packed = _coder(*shipped.value)[0], []
-        for t, e, a, b in zip(texts.to_pylist(), ends.to_pylist(), first.to_pylist(), last.to_pylist()):
-            e = [x for x in e if a < x <= b]
-            packed.append(b"".join(pieces[t[i:j]] for i, j in zip([a, *e], e)))
-        return _id_lists(packed)
+    def encoded(texts: pa.Array, first: pa.Array, last: pa.Array) -> pa.Array:
+        """The ids of a chunk's pieces from boundary `first` to boundary `last` (null: the end)."""
+        pieces, pattern = _coder(*shipped.value)
+        chunk = zip(*(x.to_pylist() for x in (texts, first, last)))
+        return _id_lists([b"".join(map(pieces.__getitem__, pieces_of(pattern, t, a, b))) for t, a, b in chunk])
 
+    end, begin = F.lit(None).cast("int"), F.lit(0)
     src = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), text_of(F.col(f"`{text}`")).alias("t"))
-    long = F.length("t") > chunk_chars
-    short = src.filter(~long).select("r", whole("t").alias("ids"))
-
-    parts = (
-        src.filter(long)
-        .withColumn("key", F.monotonically_increasing_id())
-        .select("key", "r", F.posexplode(chunks("t")).alias("k", "t"), (F.ceil((F.length("t") - overlap) / stride) - 1).alias("last"))
-        .withColumn("r", F.when(F.col("k") == 0, F.col("r")))  # once for each document
-        .repartition("key", "k")
-        .withColumn("p", pretokenise("t", "k", F.col("k") == F.col("last")))
-    )
-    doc = Window.partitionBy("key")
-    agreed = F.array_min(F.array_intersect(F.lag("p.tail").over(doc.orderBy("k")), F.col("p.head")))
+    one = src.filter(F.length("t") <= chunk_chars).select("r", encoded("t", begin, end).alias("ids"))
+
+    # numbered and written, so that a task that runs again gives chunks the same document
+    many = src.filter(F.length("t") > chunk_chars).withColumn("key", F.monotonically_increasing_id())
+    cut = many.select("key", F.posexplode(chunks("t")).alias("k", "c"), "r")
+    cut = scratch(cut.select("key", "k", "c.*", F.when(F.col("k") == 0, F.col("r")).alias("r")), "chunks")  # the row once for each document
+    bounds = cut.repartition("key", "k").select("key", "k", "start", pretokenise("t", "start", "head", "tail").alias("p"))
+    along, doc = Window.partitionBy("key").orderBy("k"), Window.partitionBy("key")
+    agreed = F.array_min(F.array_intersect(F.lag("p.tail").over(along), F.col("p.head")))
     stitched = (
-        parts.withColumn("from", F.when(F.col("k") == 0, 0).otherwise(agreed))
-        .withColumn("to", F.lead("from").over(doc.orderBy("k")))
-        .withColumn("whole", F.min(F.col("from").isNotNull()).over(doc))
-    )
-    offset, agree = F.col("k") * stride, F.col("whole")
-    pieces = stitched.select(
-        "key", "k", "r", "whole",
-        segment(
-            F.when(agree, F.col("t")).otherwise(""),
-            F.when(agree, F.col("p.ends")).otherwise(F.array().cast("array<int>")),
-            F.coalesce(F.col("from"), F.lit(0)) - offset,
-            F.coalesce(F.col("to"), F.lit(2**31 - 1)) - offset,
-        ).alias("ids"),
+        bounds.withColumn("from", F.when(F.col("k") == 0, 0).otherwise(agreed))
+        .withColumn("to", F.lead("from").over(along))
+        .withColumn("agree", F.min(F.col("from").isNotNull()).over(doc))
+        .select("key", "k", "agree", (F.col("from") - F.col("start")).alias("from"), (F.col("to") - F.col("start")).alias("to"))
     )
-    joined = pieces.groupBy("key").agg(
+    held = cut.select("key", "k", "t", "r").join(stitched, ["key", "k"])
+    agree = F.col("agree")
+    parts = held.select("key", "k", "r", "agree", encoded(F.when(agree, F.col("t")).otherwise(""), F.coalesce("from", begin), F.when(agree, F.col("to"))).alias("ids"))
+    joined = parts.groupBy("key").agg(
         F.first("r", ignorenulls=True).alias("r"),
-        F.first("whole").alias("whole"),
+        F.first("agree").alias("agree"),
         F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("k", "ids"))), lambda x: x["ids"])).alias("ids"),
     )
-    # the first chunk carries the row, so that a document out of step can be encoded in one go
-    out_of_step = whole(F.when(agree, "").otherwise(F.col(f"r.`{text}`")))
-    joined = joined.withColumn("ids", F.when(agree, F.col("ids")).otherwise(out_of_step))
-    ids = short.unionByName(joined.select("r", "ids"))
+    as_one = encoded(F.when(agree, "").otherwise(F.col(f"r.`{text}`")), begin, end)
+    joined = joined.withColumn("ids", F.when(agree, F.col("ids")).otherwise(as_one))
+    ids = one.unionByName(joined.select("r", "ids"))
     return ids.select(*[F.col("r")[c].alias(c) for c in docs.columns], F.col("ids").alias(free_name(docs, out)))
 
 
 def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "bytes") -> DataFrame:
     """df with the column `out` (binary): the bytes of the ids, one after the other. An unknown id is an error."""
-    shipped = df.sparkSession.sparkContext.broadcast((vocabulary.ranks_file, vocabulary.pattern))
+    shipped = df.sparkSession.sparkContext.broadcast(vocabulary.ranks_file)
     ready_python(df.sparkSession)
 
     @F.arrow_udf("binary")
     def to_bytes(lists: pa.Array) -> pa.Array:
-        coder = _coder(*shipped.value)[0].coder
-        return pa.array([coder.decode_bytes(x) for x in lists.to_pylist()], pa.binary())
+        known = _bytes_of(shipped.value)
+        return pa.array([b"".join(map(known.__getitem__, x)) for x in lists.to_pylist()], pa.binary())
 
     return df.withColumn(free_name(df, out), to_bytes(F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>"))))
