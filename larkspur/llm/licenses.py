@@ -13,10 +13,13 @@ whole, in one pass over its row; nothing is shuffled. Rows that repeat are scann
 
 from __future__ import annotations
 
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import groupby
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -98,13 +101,14 @@ class Scanner:
 
     def exact_places(self, folded: str) -> list[tuple[int, str]]:
         """(word, label) of every place where a phrase's words stand."""
-        out = []
+        places = []
         for phrase, label in self.exact.items():
             at = folded.find(f" {phrase} ")
             while at >= 0:
-                out.append((folded.count(" ", 0, at), label))
+                places.append((at, label))
                 at = folded.find(f" {phrase} ", at + 1)
-        return sorted(out)
+        spaces = spaces_of(folded) if places else []
+        return sorted((bisect_left(spaces, at), label) for at, label in places)
 
     def spans(self, folded: str) -> list[tuple[int, int, str, int, int]]:
         """(start, end, label, edits, length of the notice) of matches, which are whole words.
@@ -159,33 +163,45 @@ def ends(folded: str, first: int, notice: str, most: int) -> list[tuple[int, int
 
 def apart(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Of (edits, start, end) those that no better one overlaps: fewest edits first, then the earliest."""
-    starts, stops, kept = [], [], []
-    for edits, first, last in sorted(matches):
-        at = bisect_right(starts, first)
-        if (at and stops[at - 1] > first) or (at < len(starts) and starts[at] < last):
-            continue
-        starts.insert(at, first)
-        stops.insert(at, last)
-        kept.append((edits, first, last))
-    return kept
+    kept: list[tuple[int, int, int]] = []  # (start, end, edits), in order
+    for edits, same in groupby(sorted(matches), key=lambda x: x[0]):
+        starts, new, free = [x[0] for x in kept], [], 0
+        for _, first, last in same:
+            at = bisect_right(starts, first)
+            if first >= free and not (at and kept[at - 1][1] > first) and not (at < len(kept) and starts[at] < last):
+                new.append((first, last, edits))
+                free = last
+        kept = sorted(kept + new)
+    return [(edits, first, last) for first, last, edits in kept]
+
+
+def spaces_of(folded: str) -> list[int]:
+    return np.flatnonzero(np.frombuffer(folded.encode("utf-32-le"), np.uint32) == 32).tolist()
+
+
+@lru_cache(maxsize=8)
+def _scanner(notices: tuple[tuple[str, str], ...], exact: tuple[tuple[str, str], ...]) -> Scanner:
+    return Scanner(dict(notices), dict(exact))
 
 
 def scan(docs: DataFrame, text: str = "text", out: str = "found", notices: dict[str, str] | None = None, exact: dict[str, str] | None = None) -> DataFrame:
     """docs with the struct `out`: n_words; exact (word, label); spans (word, start and end in the folded text, label, edits)."""
     ready_python(docs.sparkSession)
-    tables = (notices or NOTICES, exact or EXACT)
+    tables = tuple((notices or NOTICES).items()), tuple((exact or EXACT).items())
 
     @F.arrow_udf(FOUND_SQL)
     def of(texts: pa.Array) -> pa.Array:
-        scanner, rows = Scanner(*tables), []
+        scanner, rows = _scanner(*tables), []
         for t in texts.to_pylist():
             folded, n = scanner.fold(t)
+            spans = scanner.spans(folded)
+            spaces = spaces_of(folded) if spans else []
             rows.append({
                 "n_words": n,
                 "exact": [{"word": w, "label": x} for w, x in scanner.exact_places(folded)],
                 "spans": [
-                    {"word": folded.count(" ", 0, a) - 1, "start": a - 1, "end": b - 1, "label": x, "edits": e, "notice_chars": size}
-                    for a, b, x, e, size in scanner.spans(folded)
+                    {"word": bisect_left(spaces, a) - 1, "start": a - 1, "end": b - 1, "label": x, "edits": e, "notice_chars": size}
+                    for a, b, x, e, size in spans
                 ],
             })
         return pa.array(rows, FOUND)

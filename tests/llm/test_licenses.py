@@ -1,5 +1,6 @@
 import random
 import re
+import time
 
 from larkspur.llm import licenses
 from larkspur.llm.queries import op5_licenses
@@ -122,3 +123,16 @@ def test_neighbours_are_told_one_by_one():
     assert told("GNU General Public Licence / GNU General Public License") == [("gnu general public licence", "gpl", 1), ("gnu general public license", "gpl", 0)]
     assert told("Apache Licence; Apache License") == [("apache licence", "apache", 1), ("apache license", "apache", 0)]
     assert told("under the Apache Licence and Apache licensees") == [("apache licence", "apache", 1)]
+
+
+def test_very_many_hits_take_time_in_proportion():
+    s = licenses.Scanner({"apache license": "apache"}, licenses.EXACT)
+    took = []
+    for n in (2_000, 16_000):
+        folded, words = s.fold("MIT License, Apache Licence or Apache License. " * n)
+        began = time.process_time()
+        places, spans = s.exact_places(folded), s.spans(folded)
+        took.append(time.process_time() - began)
+        assert words == 7 * n and len(places) == 2 * n and len(spans) == 2 * n
+        assert places[0] == (0, "mit") and places[-1] == (7 * n - 2, "apache")
+    assert took[1] < 16 * took[0] + 1
