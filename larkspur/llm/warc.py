@@ -8,13 +8,21 @@ segment number, verifies the total length, and undoes the chunked framing.
 Defined results: a null payload is the empty one. Of equal payloads of at least `revisit_from` bytes the
 smallest page id is the response; a row that repeats that id is a response too; null ids are revisits if
 the payload has an id elsewhere, else responses. Only ids, lengths and digests are grouped; a payload that
-very many pages share is one partial minimum per task. A record that is cut short, lacks a segment or
-contradicts its digest comes back with `intact` false. No pages give no records.
+very many pages share is one partial minimum per task. A record that is cut short, lacks a segment, has a
+malformed length, number or id, or contradicts its digest comes back with `intact` false, and an archive
+that is cut short or damaged is read as far as it goes. No pages give no records. Headers hold a million
+characters of a URL at most.
+
+Every record is a gzip member of its own. An archive is one row for Spark, 2 GB at most, and is inflated
+and parsed step by step; the archives written here hold RECORDS_PER_ARCHIVE records.
 """
 
 from __future__ import annotations
 
 import gzip
+import hashlib
+import re
+import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -32,7 +40,12 @@ CHUNK_BYTES = 8_192
 REVISIT_FROM = 100
 DATE = "2024-01-01T00:00:00Z"
 
-RECORD = "origin string, page_id long, kind string, segment int, total long, refers_to long, declared string, block binary"
+#: Bytes of an archive that are inflated at once, and bytes that a header may have.
+STEP = 1 << 20
+MOST_HEAD = 1 << 23
+NUMBER = re.compile("-?[0-9]{1,18}")
+
+RECORD = "origin string, page_id long, kind string, segment int, total long, refers_to long, declared string, sound boolean, block binary"
 
 
 def frame(payload: bytes) -> bytes:
@@ -72,7 +85,7 @@ def payload_of(message: bytes) -> bytes | None:
 def records_of(page: int | None, row: int, url: str | None, payload: bytes, digest: str, first: int | None, segment_bytes: int) -> list[bytes]:
     """The record of a page, without the blank lines that end it, and its continuations."""
     name = f"<urn:page:{'' if page is None else page}#{row}>"
-    uri = " ".join((url or "").split())
+    uri = " ".join((url or "")[:1_000_000].split())
     http = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nTransfer-Encoding: chunked\r\n\r\n"
     block = http if first is not None else http + frame(payload)
     cuts = [block[i : i + segment_bytes] for i in range(0, len(block), segment_bytes)]
@@ -94,12 +107,16 @@ def records_of(page: int | None, row: int, url: str | None, payload: bytes, dige
 
 def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, revisit_from: int = REVISIT_FROM) -> None:
     """Archives of pages (page_id, url, html) under path, on any file system that Spark writes."""
+    if segment_bytes > 8 << 20:
+        raise ValueError("a segment has 8 MB at most")
     ready_python(pages.sparkSession)
 
     @F.arrow_udf("array<binary>")
     def made(page: pa.Array, row: pa.Array, url: pa.Array, payload: pa.Array, digest: pa.Array, first: pa.Array) -> pa.Array:
         cols = [c.to_pylist() for c in (page, row, url, payload, digest, first)]
-        return pa.array([records_of(*x, segment_bytes) for x in zip(*cols)], pa.list_(pa.binary()))
+        # the length that ends a member is under 2**24, so its last byte is zero: left out here, it is the separator of the files
+        members = [[gzip.compress(r + END.encode(), 6, mtime=0)[:-1] for r in records_of(*x, segment_bytes)] for x in zip(*cols)]
+        return pa.array(members, pa.list_(pa.binary()))
 
     src = pages.select("page_id", "url", text_of("html").cast("binary").alias("payload")).withColumn("digest", F.sha2("payload", 256))
     equal = (
@@ -114,43 +131,92 @@ def write(pages: DataFrame, path: str, segment_bytes: int = SEGMENT_BYTES, revis
     own = F.when(~F.col("page_id").eqNullSafe(F.col("least")), F.col("least"))
     rows = src.join(equal, "digest", "left").withColumn("first", own).withColumn("row", F.monotonically_increasing_id())
     records = rows.select(F.explode(made("page_id", "row", "url", "payload", "digest", "first")).alias("record"))
-    # each record and its two blank lines are a "line" of these files
-    out = records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", END)
-    out.option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).option("compression", "gzip").text(path)
+    # each member is a "line" of these files; row numbers only tell records of one attempt of a task apart
+    out = records.select(F.col("record").cast("string").alias("value")).write.option("lineSep", "\0")
+    out.option("maxRecordsPerFile", RECORDS_PER_ARCHIVE).text(path)
 
 
-def _parsed(archive: bytes) -> Iterator[dict]:
-    if archive[:2] == b"\x1f\x8b":
-        archive = gzip.decompress(archive)
-    at = 0
-    while (at := archive.find(b"WARC/", at)) >= 0:
-        stop = archive.find(b"\r\n\r\n", at)
-        if stop < 0:
+def inflated(archive: bytes) -> Iterator[bytes]:
+    """The content of an archive, plain or gzip of any number of members, piece by piece, up to where it is damaged."""
+    if archive[:2] != b"\x1f\x8b":
+        yield archive
+        return
+    rest, at, member = b"", 0, None
+    while True:
+        if not rest:
+            rest, at = archive[at : at + STEP], at + STEP
+        if not rest:
             return
-        fields = [x.partition(":") for x in archive[at:stop].decode("utf-8", "replace").split("\r\n")[1:]]
+        member = member or zlib.decompressobj(31)
+        try:
+            piece = member.decompress(rest, STEP)
+        except zlib.error:
+            return
+        if piece:
+            yield piece
+        rest = member.unused_data if member.eof else member.unconsumed_tail
+        member = None if member.eof else member
+
+
+def number(text: str | None, default: int | None = None) -> int | None:
+    """A whole number of 18 digits at most; -1 for what is none, the default for no text."""
+    if text is None:
+        return default
+    return int(text) if NUMBER.fullmatch(text) else -1
+
+
+def page_of(name: str) -> int | None:
+    """The page id in the name of a record, or None."""
+    found = name.removeprefix("<urn:page:").rstrip(">").partition("#")[0]
+    return int(found) if name.startswith("<urn:page:") and NUMBER.fullmatch(found) else None
+
+
+def _parsed(archive: bytes) -> Iterator[dict]:
+    held, source = bytearray(), inflated(archive)
+
+    def more() -> bool:
+        piece = next(source, None)
+        held.extend(piece or b"")
+        return piece is not None
+
+    while True:
+        while (at := held.find(b"WARC/")) < 0:
+            del held[:-4]
+            if not more():
+                return
+        del held[:at]
+        while (stop := held.find(b"\r\n\r\n")) < 0 and len(held) < MOST_HEAD and more():
+            pass
+        whole_head, stop = stop >= 0, stop if stop >= 0 else len(held)
+        fields = [x.partition(":") for x in held[:stop].decode("utf-8", "replace").split("\r\n")[1:]]
         head = {k.strip().lower(): v.strip() for k, _, v in fields}
-        size = int(head.get("content-length", 0))
-        block = archive[stop + 4 : stop + 4 + size]
-        at = stop + 4 + size
-        name = head.get("warc-segment-origin-id") or head.get("warc-record-id", "")
-        page, refers = name.partition("<urn:page:")[2].partition("#")[0], head.get("warc-refers-to", "")
-        refers = refers.removeprefix("<urn:page:").rstrip(">")
+        size = number(head.get("content-length"), 0)
+        sound = whole_head and size >= 0
+        size = max(size, 0)
+        while len(held) < stop + 4 + size and more():
+            pass
+        block = bytes(held[stop + 4 : stop + 4 + size])
+        segmented, total = "warc-segment-number" in head, head.get("warc-segment-total-length")
+        name = head.get("warc-segment-origin-id") or head.get("warc-record-id") or f"unnamed:{hashlib.sha256(bytes(held[: stop + 4 + size])).hexdigest()}"
+        segment = number(head.get("warc-segment-number"), 1)
         yield {
             "origin": name,
-            "page_id": int(page) if page else None,
+            "page_id": page_of(name),
             "kind": head.get("warc-type"),
-            "segment": int(head.get("warc-segment-number", 1)),
-            "total": int(head["warc-segment-total-length"]) if "warc-segment-total-length" in head else None if "warc-segment-number" in head else size,
-            "refers_to": int(refers) if refers.lstrip("-").isdigit() else None,
+            "segment": segment if -(2**31) <= segment < 2**31 else -1,
+            "total": number(total) if total is not None or segmented else size,
+            "refers_to": page_of(head.get("warc-refers-to", "")),
             "declared": head.get("warc-payload-digest", "").removeprefix("sha256:") or None,
+            "sound": sound and len(block) == size,
             "block": block,
         }
+        del held[: stop + 4 + size if whole_head else 5]
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
     """Every record of the archives under path, plain or gzip, continuations by themselves."""
     ready_python(spark)
-    kind = pa.schema([("origin", pa.string()), ("page_id", pa.int64()), ("kind", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("refers_to", pa.int64()), ("declared", pa.string()), ("block", pa.binary())])
+    kind = pa.schema([("origin", pa.string()), ("page_id", pa.int64()), ("kind", pa.string()), ("segment", pa.int32()), ("total", pa.int64()), ("refers_to", pa.int64()), ("declared", pa.string()), ("sound", pa.bool_()), ("block", pa.binary())])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -191,10 +257,11 @@ def reassemble(records: DataFrame) -> DataFrame:
         F.max("refers_to").alias("refers_to"),
         F.max("declared").alias("declared"),
         F.max("total").alias("total"),
+        F.min("sound").alias("sound"),
         F.sort_array(F.collect_list(F.struct("segment", "block"))).alias("blocks"),
     )
     out = joined.withColumn("payload", F.when(F.col("record_type") == "response", decoded("blocks", "total")))
-    intact = F.when(F.col("record_type") == "revisit", F.lit(True)).otherwise(
+    intact = F.col("sound") & F.when(F.col("record_type") == "revisit", F.lit(True)).otherwise(
         F.coalesce(F.col("payload").isNotNull() & (F.coalesce("declared", F.sha2("payload", 256)) == F.sha2("payload", 256)), F.lit(False))
     )
     return out.select("origin", "page_id", "record_type", "refers_to", "declared", "payload", intact.alias("intact"))
