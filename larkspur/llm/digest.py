@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import ready_python, scratch, text_of
+from larkspur.llm.common import free_name, ready_python, scratch, text_of
 
 BUCKETS = 256
 CAP = 256
@@ -100,18 +100,18 @@ def _pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def fingerprints(docs: DataFrame, text: str = "text", out: str = "fingerprint") -> DataFrame:
-    """docs with the digest of a text column, in hex."""
+    """docs with the digest of a text column, in hex, under the name `out` or one close to it."""
     ready_python(docs.sparkSession)
 
     @F.arrow_udf("string")
     def of(texts: pa.Array) -> pa.Array:
         return pa.array([digest(t).hex() for t in texts.to_pylist()])
 
-    return docs.withColumn(out, of(text_of(F.col(f"`{text}`"))))
+    return docs.withColumn(free_name(docs, out), of(text_of(F.col(f"`{text}`"))))
 
 
 def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row.
+    """(id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next) per row; ids are integers.
 
     Texts go through one range shuffle; rows are paired as they stream through a partition, and the two
     texts at each partition's ends are paired by a join of as many rows as there are partitions.
@@ -119,9 +119,10 @@ def with_next(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Da
     spark = docs.sparkSession
     ready_python(spark)
     src = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), text_of(F.col(f"`{text}`")).alias("text"))
-    order = [F.col("id").desc_nulls_last(), F.xxhash64("text")]
+    src = src.withColumn("salt", F.spark_partition_id())  # rows equal in id and text are split by where they come from
+    order = [F.col("id").desc_nulls_last(), F.xxhash64("text"), F.col("salt")]
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ranged = src.repartitionByRange(n, *order).sortWithinPartitions(*order)
+    ranged = src.repartitionByRange(n, *order).sortWithinPartitions(*order).drop("salt")
     table = scratch(ranged.mapInArrow(_pairs, ROW_SQL), "digests")
     first = table.filter("kind = 'first'").select(F.col("part").alias("at"), F.col("text").alias("other"))
     along = Window.orderBy("at")  # one row per partition

@@ -26,9 +26,10 @@ def by_bytes(docs: DataFrame, shards: int = 8, id_col: str = "doc_id", text: str
         (F.octet_length(t).cast("long") + 1).alias("size"),
         F.crc32(t.cast("binary")).alias("text_crc32"),
         F.xxhash64(t).alias("tie"),
+        F.spark_partition_id().alias("salt"),  # rows equal in id and text are split by where they come from
     )
     # texts do not go through this shuffle; it is written once, so that all that follows sees the same partitions
-    order = [F.col("id").asc_nulls_first(), F.col("tie")]
+    order = [F.col("id").asc_nulls_first(), F.col("tie"), F.col("salt")]
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = scratch(small.repartitionByRange(n, *order).withColumn("part", F.spark_partition_id()), "sizes")
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)

@@ -38,6 +38,14 @@ def test_odd_documents(spark):
     assert {r["fingerprint"] for r in out if r["n_chars"] == 0} == {"00" * 65}
     assert digest.with_next(empty(spark)).count() == 0
     assert digest.fingerprints(documents(spark), out="own").select("own").distinct().count() < len(TEXTS)
+    kept = digest.fingerprints(documents(spark))
+    assert {r["fingerprint"] for r in kept.collect()} == {"fingerprint"} and "fingerprint_" in kept.columns
+
+
+def test_rows_equal_in_id_and_text_are_split(spark):
+    rows = [(5, "the same text of the same id")] * 4000 + [(k, f"text {k}") for k in range(100, 140)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(16)
+    check(digest.with_next(df).withColumnRenamed("id", "doc_id").collect(), sorted(rows, reverse=True))
 
 
 def test_difference_is_bounded_and_symmetric():
