@@ -1 +1 @@
-"""Column functions: codecs of the scalar types, row identifiers."""
+"""Column functions: codecs of the scalar types, row text and hashes."""

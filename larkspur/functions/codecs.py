@@ -37,23 +37,27 @@ def kind_of(name: str) -> str:
 def valid(kind: str, s: Column) -> Column:
     """False for null, which only the types with a value for missing text accept: see `encode`."""
     if kind in INTEGERS:
-        return F.coalesce(s.rlike(r"^[+-]?[0-9]+$") & s.try_cast(SPARK_TYPES[kind]).isNotNull(), F.lit(False))
+        return F.coalesce(s.rlike(r"^[+-]?[0-9]+\z") & s.try_cast(SPARK_TYPES[kind]).isNotNull(), F.lit(False))
     if kind == "decimal":
-        return F.coalesce(s.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]*)$"), F.lit(False))
+        return F.coalesce(s.rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]*)\z") & _decimal(s).isNotNull(), F.lit(False))
     if kind == "float":
-        return F.coalesce(s.rlike(r"^[0-9A-Fa-f]{8}$"), F.lit(False))
+        return F.coalesce(s.rlike(r"^[0-9A-Fa-f]{8}\z"), F.lit(False))
     return F.lit(True)
 
 
+def _decimal(s: Column) -> Column:
+    """The number at the start of a text, cut past four digits; null if it has too many digits before the point."""
+    cut = F.regexp_extract(s, r"^([+-]?[0-9]*(?:\.[0-9]{0,4})?)", 1)
+    return F.when(cut.rlike("[0-9]"), cut).otherwise("0").try_cast(SPARK_TYPES["decimal"])
+
+
 def encode(kind: str, s: Column) -> Column:
     """The value of a text. Decimals are cut, not rounded, past four digits; bool is true for `1` and `true`
     alone; null is false as bool and empty as text."""
     if kind in INTEGERS:
         return F.when(valid(kind, s), s.try_cast(SPARK_TYPES[kind]))
     if kind == "decimal":
-        cut = F.regexp_extract(s, r"^([+-]?[0-9]*(?:\.[0-9]{0,4})?)", 1)
-        digits = F.when(cut.rlike("[0-9]"), cut).otherwise("0")
-        return F.when(valid(kind, s), digits.try_cast(SPARK_TYPES[kind]))
+        return F.when(valid(kind, s), _decimal(s))
     if kind == "float":
         return F.when(valid(kind, s), F.unhex(s))
     if kind == "bool":

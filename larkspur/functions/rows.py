@@ -1,32 +1,10 @@
-"""Row identifiers, row text and row integrity."""
+"""Row text and row integrity."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PAGE_MASK = (1 << 48) - 1
-#: Usable bytes of a page, and bytes that each row costs on top of its own.
-PAGE_BYTES = 8135
-ROW_OVERHEAD = 33
-
-
-def pack_tid(page: Column, slot: Column) -> Column:
-    """48 bits of page and 16 bits of slot in a long."""
-    return page.cast("long").bitwiseAND(F.lit(PAGE_MASK)).bitwiseOR(F.shiftleft(slot.cast("long"), 48))
-
-
-def tid_page(tid: Column) -> Column:
-    return tid.bitwiseAND(F.lit(PAGE_MASK))
-
-
-def tid_slot(tid: Column) -> Column:
-    return F.shiftrightunsigned(tid, 48).cast("int")
-
-
-def rows_per_page(row_bytes: int) -> int:
-    return PAGE_BYTES // (ROW_OVERHEAD + row_bytes)
-
 
 def row_text(rendered: dict[str, Column]) -> Column:
     """`col=value, col=value`."""

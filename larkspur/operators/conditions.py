@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 OPS = {"=": operator.eq, "!=": operator.ne, "<": operator.lt, "<=": operator.le, ">": operator.gt, ">=": operator.ge}
-MOST_CONDITIONS = 16
 
 
 def condition(df: DataFrame, name: str, op: str, value: str | int | None) -> Column:
@@ -30,8 +29,6 @@ def condition(df: DataFrame, name: str, op: str, value: str | int | None) -> Col
 
 def where(df: DataFrame, *conditions: tuple[str, str, str | int | None]) -> DataFrame:
     """Rows that meet all conditions. A comparison with null meets none."""
-    if len(conditions) > MOST_CONDITIONS:
-        raise ValueError(f"more than {MOST_CONDITIONS} conditions")
     if not conditions:
         return df
     return df.filter(reduce(operator.and_, (condition(df, *c) for c in conditions)))

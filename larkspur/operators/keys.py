@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from larkspur.sources.paths import fresh
+
 
 def first_per_key(batch: DataFrame, key: str, order: str) -> DataFrame:
     """The row of each key with the smallest order (no map columns). Map-side minima, so that a hot key is one row per task."""
@@ -41,20 +43,23 @@ def index(df: DataFrame, key: str, partitions: int) -> DataFrame:
 
 
 def ranked(df: DataFrame, key: str, partitions: int) -> DataFrame:
-    """df with `rank`, each row's place in key order, without one task for all rows: keys are unique.
+    """df with `rank`, each row's place in key order, from 1, without one task for all rows.
 
-    Rows are counted per key range (key buckets of equal width between the extremes), and a row's rank is
-    the count before its bucket plus its place in it.
+    Rows are range-partitioned, so that a key's distance from the others does not matter, and written;
+    a window over the partitions' counts alone gives each its offset. Null keys come first; rows of equal
+    key are ranked one after the other, in an order of their own.
     """
-    low, high = df.agg(F.min(key), F.max(key)).first()
-    width = max(1, -(-((high or 0) - (low or 0) + 1) // partitions))
-    bucketed = df.withColumn("bucket_", F.floor((F.col(key) - F.lit(low or 0)) / F.lit(width)))
-    counts = bucketed.groupBy("bucket_").agg(F.count("*").alias("n_"))
-    before = counts.select("bucket_", F.coalesce(F.sum("n_").over(Window.orderBy("bucket_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before_"))
-    place = F.row_number().over(Window.partitionBy("bucket_").orderBy(key))
-    return bucketed.withColumn("place_", place).join(F.broadcast(before), "bucket_").withColumn(  # `partitions` rows
-        "rank", (F.col("before_") + F.col("place_")).cast("long")
-    ).drop("bucket_", "place_", "before_")
+    spark, path = df.sparkSession, fresh(df.sparkSession, "ranked")
+    salted = df.withColumn("salt_", F.spark_partition_id())  # rows of equal key can be split
+    order = [F.col(key).asc_nulls_first(), F.col("salt_")]
+    salted.repartitionByRange(partitions, *order).withColumn("part_", F.spark_partition_id()).write.parquet(path)
+    placed = spark.read.parquet(path)
+    counts = placed.groupBy("part_").agg(F.count("*").alias("n_"))
+    before = Window.orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    offsets = counts.select("part_", F.coalesce(F.sum("n_").over(before), F.lit(0)).alias("before_"))
+    place = F.row_number().over(Window.partitionBy("part_").orderBy(*order))
+    ranks = placed.withColumn("place_", place).join(F.broadcast(offsets), "part_")  # `partitions` rows
+    return ranks.select(*df.columns, (F.col("before_") + F.col("place_")).cast("long").alias("rank"))
 
 
 def without_keys(df: DataFrame, gone: DataFrame, key: str) -> DataFrame:

@@ -30,7 +30,7 @@ def history(log: DataFrame, key: str, version: str, bucket_versions: int = 1_000
     Versions of a key are looked at in buckets of `bucket_versions` version numbers, so that the versions
     of a hot key are spread; a bucket's ends come from a second window over the buckets' extremes.
     """
-    rows = log.withColumn("b_", F.floor(F.col(version) / bucket_versions))
+    rows = log.withColumn("b_", F.expr(f"`{version}` div {bucket_versions}"))
     ends = rows.groupBy(key, "b_").agg(F.min(version).alias("lo_"), F.max(version).alias("hi_"))
     over = Window.partitionBy(key).orderBy("b_")
     around = ends.select(key, "b_", F.lead("lo_").over(over).alias("next_"), F.lag("hi_").over(over).alias("last_"))

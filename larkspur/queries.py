@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from larkspur.functions import codecs, rows
 from larkspur.operators import conditions, keys, versions
 from larkspur.plans import replay
-from larkspur.sources.catalog import Catalog
+from larkspur.sources.catalog import Catalog, kind_of_spark
 from larkspur.sources.paths import fresh
 from larkspur.sources.tables import Tables
 from larkspur.streaming import changes
@@ -68,11 +68,9 @@ def filter_eq_null(spark, d):
     return conditions.where(table(spark, d, "orders"), ("o_orderstatus", "=", None))
 
 
-@query("SELECT count(*) AS n_rows, CAST(ceil(count(*) / 198.0) AS BIGINT) AS n_pages FROM orders")
+@query("SELECT count(*) AS n_rows FROM orders")
 def scan_footer(spark, d):
-    per_page = rows.rows_per_page(8)
-    n = table(spark, d, "orders").agg(F.count("*").alias("n_rows"))
-    return n.withColumn("n_pages", F.ceil(F.col("n_rows") / per_page))
+    return table(spark, d, "orders").agg(F.count("*").alias("n_rows"))
 
 
 @query("SELECT s_suppkey, concat('s_suppkey=', s_suppkey, ', s_name=', s_name) AS row_text FROM supplier")
@@ -85,14 +83,23 @@ def scan_row_text(spark, d):
 # --- codecs
 
 
+#: Texts of a number n by o_orderkey % 6: as it is, with a plus, with a letter, after a blank, with many digits more, none, with a line end.
+_TEXT = """CASE o_orderkey % 7 WHEN 0 THEN concat(n, '') WHEN 1 THEN concat('+', n) WHEN 2 THEN concat(n, 'x') WHEN 3 THEN concat(' ', n)
+           WHEN 4 THEN concat(n, '99999999999999') WHEN 5 THEN '' ELSE concat(n, chr(10)) END"""
+
+
 def _integers(kind: str, low: int, high: int) -> None:
     query(
-        f"""SELECT o_orderkey, o_orderkey * 37 - 9000 BETWEEN {low} AND {high} AS fits,
-            CASE WHEN o_orderkey * 37 - 9000 BETWEEN {low} AND {high} THEN o_orderkey * 37 - 9000 ELSE 0 END AS value FROM orders""",
+        f"""SELECT o_orderkey, fits, CASE WHEN fits THEN CAST(m AS BIGINT) ELSE 0 END AS value FROM
+            (SELECT *, coalesce(m BETWEEN {low} AND {high}, false) AS fits FROM
+             (SELECT o_orderkey, CASE o_orderkey % 7 WHEN 0 THEN n WHEN 1 THEN CASE WHEN n >= 0 THEN n END
+                                 WHEN 4 THEN n * 100000000000000::HUGEINT + CASE WHEN n < 0 THEN -99999999999999 ELSE 99999999999999 END END AS m
+              FROM (SELECT o_orderkey, CAST(o_orderkey * 37 - 9000 AS HUGEINT) AS n FROM orders)))""",
         f"codec_{kind}",
     )(
         lambda spark, d: table(spark, d, "orders")
-        .withColumn("text", (F.col("o_orderkey") * 37 - 9000).cast("string"))
+        .withColumn("n", F.col("o_orderkey") * 37 - 9000)
+        .withColumn("text", F.expr(_TEXT))
         .select("o_orderkey", codecs.valid(kind, F.col("text")).alias("fits"), F.coalesce(codecs.encode(kind, F.col("text")).cast("long"), F.lit(0)).alias("value"))
     )
 
@@ -115,6 +122,18 @@ def codec_decimal(spark, d):
     return df.groupBy("l_orderkey", "l_linenumber", value.alias("value")).agg(F.count("*").alias("n"))
 
 
+@query("""SELECT o_orderkey, m IS NOT NULL AS fits, coalesce(m, 0) AS value FROM
+          (SELECT o_orderkey, CASE o_orderkey % 5 WHEN 0 THEN n * 10 + 5 WHEN 1 THEN CASE WHEN n < 10 THEN (n * 100000000000000 + 99999999999999) * 10 END
+                              WHEN 2 THEN n * 10 END AS m FROM (SELECT o_orderkey, o_orderkey // 9 AS n FROM orders))""")
+def codec_decimal_text(spark, d):
+    # half a unit; over fifteen digits, but for the first; a point alone; a letter; a line end
+    df = table(spark, d, "orders").withColumn("n", F.expr("o_orderkey div 9"))
+    text = F.expr("""CASE o_orderkey % 5 WHEN 0 THEN concat(n, '.50009') WHEN 1 THEN concat(n, '99999999999999') WHEN 2 THEN concat(n, '.')
+                     WHEN 3 THEN concat(n, 'e1') ELSE concat(n, chr(10)) END""")
+    value = (codecs.encode("decimal", text).cast("decimal(24,4)") * 10).cast("long")
+    return df.select("o_orderkey", codecs.valid("decimal", text).alias("fits"), F.coalesce(value, F.lit(0)).alias("value"))
+
+
 @query("SELECT o_orderkey, o_orderstatus IN ('1', 'true') OR o_orderkey % 2 = 1 AS value FROM orders")
 def codec_bool(spark, d):
     text = F.when(F.col("o_orderkey") % 2 == 1, F.when(F.col("o_orderkey") % 4 == 1, "1").otherwise("true")).otherwise(F.col("o_orderstatus"))
@@ -142,35 +161,48 @@ def catalog_types(spark, d):
     return Catalog(spark).types()
 
 
-@query("""SELECT CAST(oid AS BIGINT) AS oid, CAST(namespace_oid AS BIGINT) AS namespace_oid, CAST(type_oid AS BIGINT) AS type_oid, CAST(rel_id AS BIGINT) AS rel_id, name FROM (VALUES (100,0,21,0,'types'),(110,0,21,0,'objects'),(111,0,21,0,'columns'),(112,0,21,0,'tables'),
-          (4001,1,21,0,'t_heap'),(4004,1,21,0,'t_tree')) t(oid, namespace_oid, type_oid, rel_id, name)""")
+_CATALOG_TABLES = {"supplier": "heap", "customer": "btree", "orders": "heap"}
+#: The columns of the tables, as the database tells them, with the oids that definitions one after the other give.
+_CATALOG = "(WITH c AS (" + " UNION ALL ".join(
+    f"SELECT {k} AS nth, '{name}' AS table_name, {int(clustering == 'btree')} AS clustered_type, row_number() OVER () - 1 AS pos, column_name, column_type FROM (DESCRIBE {name})"
+    for k, (name, clustering) in enumerate(_CATALOG_TABLES.items())
+) + """), n AS (SELECT nth, count(*) + 1 AS n FROM c GROUP BY nth)
+    SELECT table_name, clustered_type, CAST(pos AS INTEGER) AS pos, column_name,
+           CASE column_type WHEN 'BIGINT' THEN 'int64' WHEN 'INTEGER' THEN 'int32' WHEN 'DOUBLE' THEN 'decimal' ELSE 'varchar' END AS type_name,
+           4001 + coalesce((SELECT CAST(sum(n) AS BIGINT) FROM n WHERE n.nth < c.nth), 0) AS table_oid FROM c)"""
+
+
+def _catalog(spark: SparkSession, d: str) -> Catalog:
+    """Defined from the tables' own schemas, and opened again."""
+    made = Catalog(spark)
+    for name, clustering in _CATALOG_TABLES.items():
+        made.define(name, [(f.name, kind_of_spark(f.dataType)) for f in table(spark, d, name).schema.fields], clustering)
+    return Catalog(spark, made.root)
+
+
+_SYSTEM = "(VALUES (100, 'types'), (110, 'objects'), (111, 'columns'), (112, 'tables')) s(oid, name)"
+
+
+@query(f"""SELECT CAST(oid AS BIGINT) AS oid, 0::BIGINT AS namespace_oid, 21::BIGINT AS type_oid, 0::BIGINT AS rel_id, name FROM {_SYSTEM}
+           UNION ALL SELECT DISTINCT table_oid, 1::BIGINT, 21::BIGINT, 0::BIGINT, table_name FROM {_CATALOG}""")
 def catalog_objects(spark, d):
-    return _two_tables(spark).objects()
+    return _catalog(spark, d).objects()
 
 
-@query("""SELECT CAST(oid AS BIGINT) AS oid, CAST(namespace_oid AS BIGINT) AS namespace_oid, name, CAST(desc_page_id AS BIGINT) AS desc_page_id, clustered_type FROM (VALUES (100,0,'types',4,0),(110,0,'objects',6,0),(111,0,'columns',5,0),(112,0,'tables',7,0),
-          (4001,1,'t_heap',0,0),(4004,1,'t_tree',0,1)) t(oid, namespace_oid, name, desc_page_id, clustered_type)""")
+@query(f"""SELECT CAST(oid AS BIGINT) AS oid, 0::BIGINT AS namespace_oid, name, 0 AS clustered_type FROM {_SYSTEM}
+           UNION ALL SELECT DISTINCT table_oid, 1::BIGINT, table_name, clustered_type FROM {_CATALOG}""")
 def catalog_tables(spark, d):
-    return _two_tables(spark).tables()
+    return _catalog(spark, d).tables()
 
 
-@query("""SELECT * FROM (VALUES ('t_heap',0,'id','int64',8,0),('t_heap',1,'name','varchar',0,0),
-          ('t_tree',0,'id','int64',8,1),('t_tree',1,'amount','decimal',8,1),('t_tree',2,'ok','bool',1,1))
-          t(table_name, pos, column_name, type_name, len, clustered_type)""")
+@query(f"""SELECT table_name, pos, column_name, type_name, CASE type_name WHEN 'varchar' THEN 0 WHEN 'int32' THEN 4 ELSE 8 END AS len, clustered_type FROM {_CATALOG}""")
 def catalog_describe(spark, d):
-    return _two_tables(spark).describe()
+    return _catalog(spark, d).describe()
 
 
-@query("SELECT 4007::BIGINT AS last_oid, 6::BIGINT AS n_objects, 6::BIGINT AS n_tables, 5::BIGINT AS n_columns")
+@query(f"""SELECT CAST(max(table_oid + pos + 1) AS BIGINT) AS last_oid, count(DISTINCT table_oid) + 4 AS n_objects, count(DISTINCT table_oid) + 4 AS n_tables, count(*) AS n_columns FROM {_CATALOG}""")
 def show_meta(spark, d):
-    return _two_tables(spark).meta()
-
-
-def _two_tables(spark: SparkSession) -> Catalog:
-    catalog = Catalog(spark)
-    catalog.define("t_heap", [("id", "int64"), ("name", "varchar")])
-    catalog.define("t_tree", [("id", "INT64"), ("amount", "decimal"), ("ok", "bool")], "btree")
-    return catalog
+    return _catalog(spark, d).meta()
 
 
 # --- inserts
@@ -196,9 +228,52 @@ def create_insert_clustered(spark, d):
     return _supplier(spark, d, "btree").scan("supplier", ("s_suppkey", ">=", 3), ("s_acctbal", ">", "0")).withColumn("s_acctbal", F.col("s_acctbal").cast("double"))
 
 
-@query("SELECT count(*) AS n_rows, CAST(sum(8 + strlen(s_name) + 2 + 4 + 8) AS BIGINT) AS n_bytes FROM supplier")
+@query("SELECT count(*) AS n_rows, 2 AS n_folders FROM supplier")
 def show_storage(spark, d):
-    return _supplier(spark, d, "heap").storage("supplier").select("n_rows", "n_bytes")
+    return _supplier(spark, d, "heap").storage("supplier").select("n_rows", "n_folders")
+
+
+def _changed(spark: SparkSession, d: str, clustering: str) -> Tables:
+    """Suppliers, of whom some got another balance, some were deleted, and some of these inserted again."""
+    made = _supplier(spark, d, clustering)
+    df = table(spark, d, "supplier").select("s_suppkey", "s_name", "s_nationkey", F.lit("1.5").alias("s_acctbal"), F.col("s_suppkey").alias("nth"))
+    made.update("supplier", df.filter("s_suppkey % 3 = 0"), "nth")
+    made.delete("supplier", ("s_nationkey", "<", 12))
+    made.insert("supplier", df.filter("s_suppkey % 5 = 0").withColumn("s_name", F.lit("again")), "nth")
+    return Tables(spark, made.root)  # opened anew
+
+
+_CHANGED = """SELECT s_suppkey, CASE WHEN again THEN 'again' ELSE s_name END AS s_name, s_nationkey, CASE WHEN again OR s_suppkey % 3 = 0 THEN 1.5 ELSE s_acctbal END AS s_acctbal
+              FROM (SELECT *, s_nationkey < 12 AND s_suppkey % 5 = 0 AS again FROM supplier) WHERE s_nationkey >= 12 OR again"""
+
+
+@query(_CHANGED)
+def update_delete_scan(spark, d):
+    return _changed(spark, d, "heap").scan("supplier").withColumn("s_acctbal", F.col("s_acctbal").cast("double"))
+
+
+@query(f"SELECT * FROM ({_CHANGED}) WHERE s_suppkey >= 20 AND s_name != 'again'")
+def update_delete_filter(spark, d):
+    return _changed(spark, d, "btree").scan("supplier", ("s_suppkey", ">=", 20), ("s_name", "!=", "again")).withColumn("s_acctbal", F.col("s_acctbal").cast("double"))
+
+
+@query(_CHANGED)
+def compacted_scan(spark, d):
+    made = _changed(spark, d, "btree")
+    made.compact("supplier")
+    return made.scan("supplier").withColumn("s_acctbal", F.col("s_acctbal").cast("double"))
+
+
+@query("SELECT s_suppkey, s_name, s_nationkey, CASE WHEN s_suppkey % 3 = 0 THEN 1.5 ELSE s_acctbal END AS s_acctbal FROM supplier")
+def table_as_of(spark, d):
+    # two inserts and the update; the deletion came later
+    return _changed(spark, d, "heap").as_of("supplier", 3).withColumn("s_acctbal", F.col("s_acctbal").cast("double"))
+
+
+@query(f"SELECT s_suppkey AS k, s_name FROM ({_CHANGED})")
+def table_log_replay(spark, d):
+    log = _changed(spark, d, "heap").log("supplier").withColumnRenamed("s_suppkey", "k")
+    return replay.replay(log, "k", ["s_name"], lsn="v_", kind="op_")
 
 
 @query("SELECT event_id, user_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n FROM events) WHERE n = 1")
@@ -291,7 +366,7 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
     end = F.when(e % 30 == 29, replay.ABORT).otherwise(replay.COMMIT)
     kind = F.when(e % 10 == 9, end).when(e % 11 == 5, replay.DELETE).otherwise(replay.INSERT)
     return table(spark, d, "events").select(
-        e.alias("lsn"), F.floor(e / 10).alias("xid"), F.col("user_id").alias("k"), kind.alias("type"), "value"
+        e.alias("lsn"), F.expr("event_id div 10").alias("xid"), F.col("user_id").alias("k"), kind.alias("type"), "value"
     )
 
 
@@ -338,21 +413,14 @@ def log_stream(spark, d):
     return changes.drain(spark, source, "k", "lsn", "type", ["value"], path)
 
 
-# --- row identifiers and pages
-
-
-@query("SELECT o_orderkey, o_orderkey // 198 AS page, CAST(o_orderkey % 198 AS INTEGER) AS slot, (o_orderkey // 198) | ((o_orderkey % 198) << 48) AS tid FROM orders")
-def tid_pack(spark, d):
-    per = rows.rows_per_page(8)
-    df = table(spark, d, "orders").select("o_orderkey", rows.pack_tid(F.floor(F.col("o_orderkey") / per), F.col("o_orderkey") % per).alias("tid"))
-    return df.select("o_orderkey", rows.tid_page(F.col("tid")).alias("page"), rows.tid_slot(F.col("tid")).alias("slot"), "tid")
-
-
-@query("""SELECT (n - 1) // 142 AS page, count(*) AS n_rows, 8135 - count(*) * 57 AS free_bytes
-          FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS n FROM orders) GROUP BY 1""")
-def page_packing(spark, d):
-    size = 24
-    ranked = keys.ranked(table(spark, d, "orders").select("o_orderkey"), "o_orderkey", 64)
-    page = F.floor((F.col("rank") - 1) / rows.rows_per_page(size))
-    packed = ranked.groupBy(page.alias("page")).agg(F.count("*").alias("n_rows"))
-    return packed.withColumn("free_bytes", F.lit(rows.PAGE_BYTES) - F.col("n_rows") * (size + rows.ROW_OVERHEAD))
+@query("""SELECT k, value FROM (SELECT user_id AS k, value, event_id % 11 = 5 AS gone, row_number() OVER (PARTITION BY user_id ORDER BY event_id % 3, event_id DESC) AS n
+                                FROM events WHERE event_id % 3 <> 1) WHERE n = 1 AND NOT gone""")
+def log_append_replay(spark, d):
+    # three transactions, of which the second is aborted
+    path = fresh(spark, "log")
+    kind = F.when(F.col("event_id") % 11 == 5, replay.DELETE).otherwise(replay.INSERT)
+    events = table(spark, d, "events").select("event_id", F.col("user_id").alias("k"), kind.alias("type"), "value")
+    for k, rest in enumerate((2, 1, 0)):
+        replay.append(spark, path, events.filter(F.col("event_id") % 3 == rest), "k", "event_id", ["value"], commit=k != 1)
+    log = replay.read_log(spark, path)
+    return replay.replay(replay.committed(replay.intact(log, "check", rows.row_hash("lsn", "xid", "type", "k", "value"))), "k", ["value"])

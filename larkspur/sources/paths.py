@@ -9,9 +9,11 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a folder of our own only where that is unset, as in tests."""
+    """spark.checkpoint.dir; where that is unset a folder of our own, but only if all of Spark runs on this machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="larkspur-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -19,3 +21,22 @@ def shared_dir(spark: SparkSession) -> str:
 
 def fresh(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names in a folder of any file system that Spark knows; none if there is no such folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return sorted(x.getPath().getName() for x in fs.listStatus(where)) if fs.exists(where) else []
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def size_of(spark: SparkSession, path: str) -> int:
+    """Bytes of the files under a folder."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark._jsc.hadoopConfiguration())
+    return fs.getContentSummary(where).getLength() if fs.exists(where) else 0
