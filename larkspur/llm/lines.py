@@ -27,12 +27,8 @@ def line_key(line: Column) -> Column:
     return F.translate(F.btrim(line, F.lit(WHITE)), UPPER, LOWER)
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 10, min_documents: int = 2) -> DataFrame:
-    """docs, with integer ids, with `kept` (the text that stays), `n_lines` (before) and `n_dropped`.
-
-    A key is told by a 128-bit hash. Explosion, counts and the join back carry hashes, ids and positions
-    only; a key that very many documents hold is one partial sum per task, and a skewed join key after.
-    """
+def _cut(docs: DataFrame, id_col: str, text: str, min_chars: int, min_documents: int) -> DataFrame:
+    """(r, kept, n_lines, n_dropped): r has docs' columns. A text goes through one shuffle, once, and through no sort."""
     def lines(t: Column) -> Column:
         return F.split(text_of(t), "\n")
 
@@ -56,26 +52,35 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars
     shared = scratch(counts.select("h", "g", "first"), "shared")
     gone = keyed.join(shared, ["h", "g"]).filter("doc != first")
     places = gone.groupBy("row1", "row2").agg(F.collect_set("at").alias("gone"))  # of one document
-    cut = src.join(places, ["row1", "row2"], "left").select("r", "gone", lines(F.col(f"r.`{text}`")).alias("lines"))
+    # positions are hashed, texts stream by: a sort would hold whole texts
+    cut = src.join(places.hint("shuffle_hash"), ["row1", "row2"], "left").select("r", "gone", lines(F.col(f"r.`{text}`")).alias("lines"))
     places_left = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.coalesce("gone", F.array().cast("array<int>")))
     stays = F.transform(places_left, lambda i: F.get("lines", i))
     return cut.select(
-        *[F.col("r")[c].alias(c) for c in docs.columns],
-        F.array_join(stays, "\n").alias(free_name(docs, "kept")),
-        F.size("lines").cast("long").alias(free_name(docs, "n_lines")),
-        F.greatest(F.size("gone"), F.lit(0)).cast("long").alias(free_name(docs, "n_dropped")),
+        "r",
+        F.array_join(stays, "\n").alias("kept"),
+        F.size("lines").cast("long").alias("n_lines"),
+        F.greatest(F.size("gone"), F.lit(0)).cast("long").alias("n_dropped"),
     )
 
 
-def without_shared(docs: DataFrame, id_col: str = "doc_id", text: str = "text", **limits: int) -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 10, min_documents: int = 2) -> DataFrame:
+    """docs, with integer ids, with `kept` (the text that stays), `n_lines` (before) and `n_dropped`.
+
+    A key is told by a 128-bit hash. Explosion, counts and the join back carry hashes, ids and positions
+    only; a key that very many documents hold is one partial sum per task, and a skewed join key after.
+    """
+    out = _cut(docs, id_col, text, min_chars, min_documents)
+    return out.select(*[F.col("r")[c].alias(c) for c in docs.columns], *[F.col(c).alias(free_name(docs, c)) for c in ("kept", "n_lines", "n_dropped")])
+
+
+def without_shared(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_chars: int = 10, min_documents: int = 2) -> DataFrame:
     """docs with the same rows and columns, their texts without dropped lines (empty if all were).
 
     A null text stays null. A column n_chars, if there is one, follows the new text.
     """
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("r"), F.col(f"`{id_col}`").alias("id"), F.col(f"`{text}`").alias("text"))
-    out = dedup(row, "id", "text", **limits)
-    lost = F.col("n_dropped") > 0
-    new = {text: F.when(lost, F.col("kept")).otherwise(F.col("text"))}
+    out, lost = _cut(docs, id_col, text, min_chars, min_documents), F.col("n_dropped") > 0
+    new = {text: F.when(lost, F.col("kept")).otherwise(F.col("r")[text])}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.when(lost, F.length("kept")).otherwise(F.col("r")["n_chars"])
     kinds = dict(docs.dtypes)

@@ -51,3 +51,14 @@ def test_odd_documents(spark):
     assert texts[4] == (None, None) and texts[3] == ("", 0)
     assert texts[2] == ("another text here\nend two", len("another text here\nend two"))
     assert lines.dedup(empty(spark)).count() == 0
+
+
+def test_a_text_is_shuffled_once(spark):
+    """Left of the last join the plan has the row, which holds the text, and two hashes; nothing of it is sorted."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    out = lines.without_shared(docs)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[plan.index("Join LeftOuter") :].split("\n")[1]
+    assert left.count("text#") == 3  # in the row, and in its two hashes
+    physical = out._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in physical and out.count() == docs.count()
