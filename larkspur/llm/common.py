@@ -4,15 +4,20 @@ from __future__ import annotations
 
 import shutil
 import tempfile
-import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from larkspur.sources.paths import fresh, remove
+
 #: Most rows and bytes in one Arrow batch sent to Python, so that long texts cannot fill a worker.
 ARROW_ROWS = 2000
 ARROW_BYTES = 8 << 20
+#: Most rows, of some 50 bytes each, that small() broadcasts.
+BROADCAST_ROWS = 100_000
 
 
 def ready_python(spark: SparkSession) -> None:
@@ -27,18 +32,13 @@ def ready_python(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", ARROW_BYTES)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one set here if none is."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="larkspur-")
-        spark.sparkContext.setCheckpointDir(found)
-        found = spark.sparkContext.getCheckpointDir()
-    return found.rstrip("/")
+#: Folders that scratch() made, for tidy(). On the driver.
+_made: list[str] = []
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _made.append(fresh(spark, name))
+    return _made[-1]
 
 
 def scratch(df: DataFrame, name: str) -> DataFrame:
@@ -48,13 +48,36 @@ def scratch(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def drop_scratch(df: DataFrame) -> None:
-    """Delete the files of a table that scratch() returned."""
-    spark = df.sparkSession
-    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
-    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        path = jvm.org.apache.hadoop.fs.Path(folder)
-        path.getFileSystem(conf).delete(path, True)
+def folders_of(df: DataFrame) -> set[str]:
+    return {f.rsplit("/", 1)[0] for f in df.inputFiles()}
+
+
+def drop_scratch(*tables: DataFrame) -> None:
+    """Delete the files of tables that scratch() returned."""
+    for df in tables:
+        for folder in folders_of(df):
+            remove(df.sparkSession, folder)
+
+
+@contextmanager
+def tidy(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that scratch() wrote within, but for those that were handed to the function it gives."""
+    begun, kept = len(_made), set()
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.update(x.rsplit("/", 1)[1] for x in folders_of(df))
+        return df
+
+    yield keep
+    for path in _made[begun:]:
+        if path.rsplit("/", 1)[1] not in kept:
+            remove(spark, path)
+    del _made[begun:]
+
+
+def small(df: DataFrame) -> DataFrame:
+    """A written table of narrow rows: broadcast if it has BROADCAST_ROWS at most, else left to a shuffled join."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def text_of(col: str | Column = "text") -> Column:

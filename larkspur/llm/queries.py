@@ -24,7 +24,7 @@ def op1_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = quality.apply_policy(quality.ledger(read(spark, sf_dir, "documents").select("doc_id", "text")))
+    rows = quality.apply_policy(quality.ledger(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
     base = F.col("failed").bitwiseAND(F.lit(quality.mask_of("v1"))) != 0
     return rows.select(
         F.col("r.doc_id").alias("doc_id"),
@@ -34,6 +34,11 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each policy would keep of all documents without each of its rules, from the ledger's masks."""
+    return quality.ablation(quality.ledger(read(spark, sf_dir, "documents").select("doc_id", "text"), keep=["doc_id"]))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(read(spark, sf_dir, "documents").select("doc_id", "text"))
     return found.select(
@@ -98,6 +103,7 @@ def op10_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_quality": op2_quality,
+    "quality_ablation": quality_ablation,
     "op3_simhash": op3_simhash,
     "op4_warc": op4_warc,
     "op5_licenses": op5_licenses,
@@ -109,8 +115,8 @@ QUERIES = {
     "pipeline": corpus_pipeline.run,
 }
 
-SQL: dict[str, str] = {
-    "op2_quality": """
+#: Measurements of the quality rules, as CTEs.
+_MEASURES = """
         WITH t AS (SELECT doc_id, coalesce(text, '') AS x,
                           translate(coalesce(text, ''), chr(9) || chr(10) || chr(11) || chr(12) || chr(13), '     ') AS y FROM documents),
         b AS (SELECT doc_id, replace(y, ' ', '') AS bare, list_filter(string_split(y, ' '), lambda w: w <> '') AS ws,
@@ -128,7 +134,22 @@ SQL: dict[str, str] = {
                      length(bare) - length(replace(bare, '!', '')) AS n_bangs,
                      len(ls) AS n_lines, len(ls) - len(list_distinct(ls)) AS n_dup_lines, len(list_distinct(ws)) AS n_distinct_words,
                      coalesce(n_repeat_words, 0) AS n_repeat_words
-              FROM b LEFT JOIN c ON b.doc_id = c.doc_id),
+              FROM b LEFT JOIN c ON b.doc_id = c.doc_id)
+"""
+
+
+def _ablation_sql() -> str:
+    def kept(names: tuple[str, ...]) -> str:
+        return " AND ".join(f"NOT ({test})" for name, test in quality.RULES if name in names)
+
+    cases = [(p, w, kept(tuple(n for n in names if n != w))) for p, names in quality.POLICIES.items() for w in (None, *names)]
+    rows = [f"SELECT '{p}' AS policy, {repr(w) if w else 'NULL::VARCHAR'} AS without, count(*) FILTER ({test}) AS n_kept FROM m" for p, w, test in cases]
+    return _MEASURES.replace("        m AS (", "        m AS MATERIALIZED (") + " UNION ALL ".join(rows)
+
+
+SQL: dict[str, str] = {
+    "quality_ablation": _ablation_sql(),
+    "op2_quality": _MEASURES.rstrip() + """,
         f AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM m)
         SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, CAST(n_repeat_words AS BIGINT) AS n_repeat_words, base_failed,
                NOT (base_failed OR 4 * n_symbols > n_words OR (n_upper > n_lower AND n_upper >= 20) OR 4 * n_bangs > n_words

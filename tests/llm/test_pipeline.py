@@ -1,4 +1,7 @@
+import os
+
 import corpus_pipeline
+from larkspur.sources.paths import shared_dir
 from tests.llm.fixtures import documents, empty
 
 
@@ -16,7 +19,10 @@ def test_stages_keep_the_columns(spark, tmp_path):
     assert counts[0] > counts[1] > counts[2] == counts[3] > counts[4]
     kept = {r["doc_id"] for r in spark.read.parquet(str(tmp_path / "near_copies")).collect()}
     assert {r["doc_id"] for r in docs.collect()} == kept
+    before = set(os.listdir(shared_dir(spark)))
     assert corpus_pipeline.run(spark, d).count() == docs.count()
+    left = set(os.listdir(shared_dir(spark))) - before
+    assert len(left) == 1 and left.pop().startswith("packing")
 
 
 def test_odd_and_no_documents(spark):

@@ -74,3 +74,9 @@ def test_keep_returns_rows_as_they_were(spark):
 
 def test_query_gives_the_rows_of_its_sql(spark):
     same(spark, op2_quality, SQL["op2_quality"], "sf0.001")
+
+
+def test_ablation_query(spark):
+    from larkspur.llm.queries import quality_ablation
+
+    same(spark, quality_ablation, SQL["quality_ablation"], "sf0.001")

@@ -59,6 +59,12 @@ def test_query(spark):
     labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
     clean = [r for r in rows if labels.get(r["doc_id"]) == 0 and r["held_out"]]
     assert sum(r["predicted"] for r in clean) <= 0.02 * len(clean)
+    toxic = [r for r in rows if labels.get(r["doc_id"]) == 1 and r["held_out"]]
+    # 18 documents, with about as many again to learn from: 14 of them are told
+    assert len(toxic) > 5 and sum(r["predicted"] for r in toxic) >= 0.7 * len(toxic)
+    ranked = sum(1.0 if a["score"] > b["score"] else 0.5 * (a["score"] == b["score"]) for a in toxic for b in clean)
+    print("ranking", ranked / len(toxic) / len(clean))
+    assert ranked >= 0.9 * len(toxic) * len(clean)
 
 
 @pytest.mark.parametrize("few,elsewhere,most", [("fits", 1, 900), ("NOT fits", 1, 900), ("fits", 0, 900), ("place > 400000", 1, 300)])
