@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from larkspur.llm import lines, packing, quality, simhash, toxicity
-from larkspur.llm.common import read, scratch
+from larkspur.llm.common import drop_scratch, read, scratch, tidy
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,7 +46,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read(spark, sf_dir, "documents")
+    """The last stage's rows; of the tables written on the way only theirs stays."""
+    docs, before = read(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = scratch(stage(spark, docs, sf_dir), name)
+        with tidy(spark) as keep:
+            docs = keep(scratch(stage(spark, docs, sf_dir), name))
+        if before is not None:
+            drop_scratch(before)
+        before = docs
     return docs
