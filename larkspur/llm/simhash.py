@@ -7,7 +7,8 @@ once; they start so that a count over the radius overflows, and a block is left
 
 Blocks of more than TILE rows are dealt out by hash into parts of about TILE rows, and each two parts are
 compared in a task of their own: nothing is dropped, and no task holds more than about 2 * TILE rows of a
-block, however hot its key. A block gives a spanning forest of its links, never all its pairs.
+block, however hot its key. A block gives a spanning forest of its links, never all its pairs. Tiles carry
+fingerprints only; shingle sets are fetched for what is left after the comparison.
 
 Defined results: a null text has no words; its fingerprint is zero. Equal texts have equal fingerprints
 and so are one node. Nulls in other columns, rows that repeat and columns of any name pass through.
@@ -25,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import drop_scratch, free_name, ready_python, scratch, text_of
+from larkspur.llm.common import drop_scratch, free_name, ready_python, scratch, small, text_of
 from larkspur.llm.components import components
 from larkspur.llm.lines import WHITE
 
@@ -34,9 +35,15 @@ TILE = 256
 SEED = 42
 #: Keys of a document in the first pass of near_dedup; what they miss the second pass finds.
 KEYS = 6
+#: Machine words of a SimHash print in that pass.
+PRINT_WORDS = 2
 #: About so many texts tell which shingles are common, and so many shingles are told at most.
-SAMPLE_TEXTS = 5_000
+SAMPLE_TEXTS = 10_000
 COMMON = 100_000
+#: Least and most bits of a parity print, as powers of two. Longer texts only have a weaker bound.
+LEAST_CLASS, MOST_CLASS = 6, 13
+#: Of the cache of word hashes in a Python worker; it is emptied when full, which changes no result.
+CACHE_WORDS = 300_000
 MASK64 = (1 << 64) - 1
 
 
@@ -63,8 +70,8 @@ def majority(h: np.ndarray) -> bytes:
     if not len(h):
         return bytes(8)
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(h), 8192):
-        counts += np.unpackbits(h[at : at + 8192].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    for at in range(0, len(h), 255):  # sums of 255 bits fit in a byte
+        counts += np.add.reduce(np.unpackbits(h[at : at + 255].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1), axis=0, dtype=np.uint8)
     return np.packbits(2 * counts > len(h)).tobytes()
 
 
@@ -131,7 +138,7 @@ def forest(links: np.ndarray) -> np.ndarray:
 
 
 def overlaps(sets: list[np.ndarray]) -> np.ndarray:
-    """(rows, rows) Jaccard similarity of sets of 32-bit values; only values in two sets or more are looked at."""
+    """(rows, rows) Jaccard similarity of sets of values; only values in two sets or more are looked at."""
     sizes = np.array([len(s) for s in sets])
     row = np.repeat(np.arange(len(sets)), sizes)
     value, where = np.unique(np.concatenate(sets), return_inverse=True)
@@ -188,33 +195,24 @@ def tiles(rows: DataFrame, keys: list[str], by: str) -> DataFrame:
     return dealt.withColumn("tile", tile).drop("n", "parts", "mine", "other", *keys)
 
 
-def _links(dealt: DataFrame, node: str, radius: int, similarity: float | None = None) -> DataFrame:
-    """(a, b) edges among nodes of the same tile; columns of dealt: tile, node, print (binary), and shingles with a similarity."""
-    kind = dict(dealt.dtypes)[node]
-    out_type = pa.int64() if kind == "bigint" else pa.string()
+def _links(dealt: DataFrame, node: str, radius: int) -> DataFrame:
+    """(a, b) edges (longs) that connect all nodes of a tile within the radius; columns of dealt: tile, node, print (binary)."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in _packs(batches):
-            tile = pack.column(0).to_numpy()
+            tile, names = pack.column(0).to_numpy(), pack.column(1).to_numpy()
             near = within(np.frombuffer(b"".join(pack.column(2).to_pylist()), np.uint8).reshape(len(tile), -1), radius)
             near &= tile[:, None] == tile[None, :]
-            if not near.any():
-                continue
-            at = np.flatnonzero(near.any(axis=1))
-            near = near[np.ix_(at, at)]
-            if similarity is not None:
-                sets = pack.column(3).take(pa.array(at)).to_pylist()
-                near &= overlaps([np.frombuffer(s, np.uint32) for s in sets]) >= similarity
-            root = forest(near)
-            tied = np.flatnonzero(root != np.arange(len(root)))
-            if len(tied):
-                names = pack.column(1)
-                ends = [names.take(pa.array(at[x])).combine_chunks() for x in (tied, root[tied])]
-                yield pa.RecordBatch.from_arrays(ends, schema=pa.schema([("a", out_type), ("b", out_type)]))
-
-    columns = ["tile", node, "print", *(["shingles"] if similarity is not None else [])]
-    sorted_ = dealt.select(*columns).repartition("tile").sortWithinPartitions("tile")
-    return sorted_.mapInArrow(compare, f"a {kind}, b {kind}")
+            if near.any():
+                root = forest(near)
+                tied = np.flatnonzero(root != np.arange(len(root)))
+                yield pa.RecordBatch.from_arrays([pa.array(names[tied]), pa.array(names[root[tied]])], ["a", "b"])
+
+    return _by_tile(dealt.select("tile", node, "print")).mapInArrow(compare, "a long, b long")
+
+
+def _by_tile(dealt: DataFrame) -> DataFrame:
+    return dealt.repartition("tile").sortWithinPartitions("tile")
 
 
 def hamming_links(prints: DataFrame, radius: int = 2, col: str = "fingerprint") -> DataFrame:
@@ -252,17 +250,64 @@ def groups(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle:
     return named.join(least, "root").select("id", "fingerprint", "component")
 
 
+class _WordHashes(dict):
+    def __missing__(self, word: bytes) -> int:
+        self[word] = h = xxhash.xxh64_intdigest(word, SEED)
+        return h
+
+
+def shingle_set(text: str, n: int, words: _WordHashes) -> np.ndarray:
+    """The distinct n-word shingles of a text as sorted 64-bit hashes, made of their words' hashes."""
+    if len(words) > CACHE_WORDS:
+        words.clear()
+    parts = text.encode().lower().split()
+    w = np.fromiter(map(words.__getitem__, parts), np.uint64, len(parts))
+    if not len(w):
+        return w
+    size = min(n, len(w))
+    odd = mix(np.arange(n, dtype=np.uint64), 1) | np.uint64(1)
+    h = np.full(len(w) - size + 1, size, np.uint64)
+    for k in range(size):
+        h += w[k : len(w) - size + 1 + k] * odd[k]
+    return np.unique(mix(h, 0))
+
+
 def prefix_size(n: int, similarity: float) -> int:
     """Two sets that are `similarity` alike share one of their first values, so many of n each, in any order of all values."""
     return n - math.ceil(similarity * n - 1e-9) + 1
 
 
+def most_differing(sizes: np.ndarray | int, similarity: float) -> np.ndarray | int:
+    """Of two sets of so many values in sum that are `similarity` alike: at most so many values are in one set only."""
+    return np.floor(sizes * (1 - similarity) / (1 + similarity) + 1e-9).astype(int)
+
+
+def class_of(n: int) -> int:
+    """The power of two of the bits in the parity print of n values."""
+    return min(MOST_CLASS, max(LEAST_CLASS, (n - 1).bit_length()))
+
+
+def parity(h: np.ndarray, bits: int) -> bytes:
+    """Bit i tells whether an odd number of the values falls there: prints differ in no more bits than sets do in values."""
+    return np.packbits(np.bincount((h & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1).tobytes()
+
+
+def folded(prints: list[bytes], bits: int) -> np.ndarray:
+    """(rows, bytes) of parity prints at a width that none is narrower than; halves of wider ones are added up."""
+    rows = np.empty((len(prints), bits // 8), np.uint8)
+    for k, x in enumerate(prints):
+        # value v counts at v mod its width, so at v mod bits too
+        rows[k] = np.bitwise_xor.reduce(np.frombuffer(x, np.uint8).reshape(-1, bits // 8), axis=0)
+    return rows
+
+
 def common_shingles(docs: DataFrame, text: Column, shingle: int) -> np.ndarray:
     """Hashes of shingles that stand in several texts of a sample, rarest first. They only order: any order is right."""
 
     @F.arrow_udf("array<long>")
     def hashes(texts: pa.Array) -> pa.Array:
-        return pa.array([np.unique(shingle_hashes(t, shingle)).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
+        words = _WordHashes()
+        return pa.array([shingle_set(t, shingle, words).view(np.int64) for t in texts.to_pylist()], pa.list_(pa.int64()))
 
     share = SAMPLE_TEXTS / max(1, docs.count())
     sample = docs.select(text.alias("text")).filter(F.rand(SEED) < share)
@@ -272,114 +317,202 @@ def common_shingles(docs: DataFrame, text: Column, shingle: int) -> np.ndarray:
 
 
 def _similar(dealt: DataFrame, similarity: float) -> DataFrame:
-    """(a, b) edges that connect all nodes of a tile whose sets are `similarity` alike; columns of dealt: tile, node, shingles."""
+    """(a, b) edges that connect all nodes of a tile whose sets are `similarity` alike; columns of dealt: tile, nid, shingles."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for pack in _packs(batches):
-            tile, names, left, right = pack.column(0).to_numpy(), pack.column(1).to_pylist(), [], []
-            sets = [np.frombuffer(x, np.uint32) for x in pack.column(2).to_pylist()]
+            tile, names, left, right = pack.column(0).to_numpy(), pack.column(1).to_numpy(), [], []
+            sets = [np.frombuffer(x, np.uint64) for x in pack.column(2).to_pylist()]
             cuts = [0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1), len(tile)]
             for lo, hi in zip(cuts, cuts[1:]):
-                if hi - lo == 2:
-                    sizes = len(sets[lo]), len(sets[lo + 1])
-                    if min(sizes) < similarity * max(sizes) - 1e-6:
-                        continue
-                    both = len(np.intersect1d(sets[lo], sets[lo + 1], assume_unique=True))
-                    root = [0, 0 if both / (sum(sizes) - both) >= similarity else 1]
-                else:
-                    root = forest(overlaps(sets[lo:hi]) >= similarity)
-                for k in range(hi - lo):
-                    if root[k] != k:
-                        left.append(names[lo + k])
-                        right.append(names[lo + root[k]])
-            if left:
-                yield pa.RecordBatch.from_arrays([pa.array(left), pa.array(right)], ["a", "b"])
-
-    return dealt.select("tile", "node", "shingles").repartition("tile").sortWithinPartitions("tile").mapInArrow(compare, "a string, b string")
-
-
-def _missed(table: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
+                root = forest(overlaps(sets[lo:hi]) >= similarity)
+                tied = np.flatnonzero(root != np.arange(hi - lo))
+                left.append(names[lo + tied])
+                right.append(names[lo + root[tied]])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], ["a", "b"])
+
+    return _by_tile(dealt.select("tile", "nid", "shingles")).mapInArrow(compare, "a long, b long")
+
+
+def _pairs(tile: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of two rows of one tile whose prints differ in `radius` bits at most. Tiles that do not fill a machine word are compared directly."""
+    cuts = np.array([0, *(np.flatnonzero(tile[1:] != tile[:-1]) + 1), len(tile)])
+    sizes = np.diff(cuts)
+    few = np.repeat(sizes < 64, sizes)
+    words, left, right = prints.view(np.uint64), [], []
+    for step in range(1, int(sizes[sizes < 64].max(initial=1))):
+        i = np.flatnonzero((tile[step:] == tile[:-step]) & few[:-step])
+        i = i[np.bitwise_count(words[i] ^ words[i + step]).sum(axis=1) <= radius]
+        left.append(i)
+        right.append(i + step)
+    for lo, hi in zip(cuts[:-1][sizes >= 64], cuts[1:][sizes >= 64]):
+        i, j = np.nonzero(np.triu(within(prints[lo:hi], radius)))
+        left.append(lo + i)
+        right.append(lo + j)
+    return np.concatenate([*left, np.zeros(0, int)]).astype(int), np.concatenate([*right, np.zeros(0, int)]).astype(int)
+
+
+def _near_rows(dealt: DataFrame, similarity: float) -> DataFrame:
+    """(tile, nid): rows that may be `similarity` alike with a row of another group in their tile; no such row is left out.
+
+    Columns of dealt: tile, nid, gid, class (one for each tile), size, bits (a parity print of that width or wider).
+    """
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for pack in _packs(batches):
+            tiles_, nids, gids, classes, sizes = (pack.column(k).to_numpy() for k in range(5))
+            bits = pack.column(5).to_pylist()
+            for c in np.unique(classes):
+                at = np.flatnonzero(classes == c)
+                gid, size = gids[at], sizes[at].astype(np.int64)
+                prints = folded([bits[k] for k in at], 1 << int(c))
+                i, j = _pairs(tiles_[at], prints, int(most_differing(2 * size.max(), similarity)))
+                apart = np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1)
+                good = (gid[i] != gid[j]) & (apart <= most_differing(size[i] + size[j], similarity))
+                good &= np.minimum(size[i], size[j]) >= similarity * np.maximum(size[i], size[j]) - 1e-6
+                rows = at[np.unique(np.concatenate([i[good], j[good]]))]
+                if len(rows):
+                    yield pa.RecordBatch.from_arrays([pa.array(tiles_[rows]), pa.array(nids[rows])], ["tile", "nid"])
+
+    columns = ["tile", "nid", "gid", "class", "size", "bits"]
+    return dealt.select(*columns).repartition("tile").sortWithinPartitions("class", "tile").mapInArrow(compare, "tile long, nid long")
+
+
+def _sets(texts: DataFrame, nodes: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
+    """(nid, shingles) of the wanted nids, from their texts (node, text), of which there may be copies."""
+
+    @F.arrow_udf("binary")
+    def of(column: pa.Array) -> pa.Array:
+        words = _WordHashes()
+        return pa.array([shingle_set(t, shingle, words).tobytes() for t in column.to_pylist()], pa.binary())
+
+    named = scratch(nodes.select("nid", "node").join(wanted.select("nid").distinct(), "nid"), "wanted")
+    one = texts.join(small(named), "node").groupBy("nid").agg(F.first("text").alias("text"))
+    return one.select("nid", of("text").alias("shingles"))
+
+
+def _first_links(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(a, b) edges of most nodes that are `similarity` alike: those of near SimHash prints in a block of equal least hashes."""
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    bits = 64 * PRINT_WORDS
+    radius = math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
+    keyed = nodes.select("nid", F.posexplode("keys").alias("order", "key"))
+    near = scratch(_links(tiles(keyed, ["order", "key"], "nid").join(nodes.select("nid", "print"), "nid"), "nid", radius).distinct(), "near")
+    # a root and about TILE of the rows that are tied to it make a tile
+    counts = near.groupBy("b").agg(F.count("*").alias("n"))
+    star = near.join(counts, "b").select("a", "b", F.xxhash64("b", F.pmod(F.xxhash64("a"), F.ceil(F.col("n") / TILE))).alias("tile"))
+    dealt = scratch(star.select("tile", F.col("a").alias("nid")).unionByName(star.select("tile", F.col("b").alias("nid")).distinct()), "dealt")
+    edges = scratch(_similar(dealt.join(_sets(texts, nodes, dealt, shingle), "nid"), similarity), "first")
+    drop_scratch(near, dealt)
+    return edges
+
+
+def _missed_links(nodes: DataFrame, texts: DataFrame, roots: DataFrame, shingle: int, similarity: float) -> DataFrame:
     """(a, b) edges among the groups of `roots`, with which all nodes that are `similarity` alike are connected.
 
-    Two such nodes share a value of their prefixes, so rows that agree in one are compared; but values that
+    Two such nodes share a value of their prefixes, so rows of about equal size that agree in one are
+    compared: by their parity prints first, and by their sets where those are near enough. Values that
     stand in one group only, and values that the same rows share as another one, have nothing to add.
     """
-    slim = table.groupBy("node").agg(F.first("prefix").alias("prefix")).join(roots, "node", "left").select(
-        F.monotonically_increasing_id().alias("nid"), "node", F.xxhash64(F.coalesce("root", "node")).alias("group"), "prefix"
-    )
-    slim = scratch(slim, "prefixes")
-    keyed = slim.select("nid", "group", F.explode("prefix").alias("key"))
-    ranges = keyed.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high"))
-    shared = scratch(ranges.filter("low != high").select("key"), "shared")
-    keyed = scratch(keyed.join(shared, "key").select("key", "nid"), "candidates")
-    blocks = keyed.groupBy("key").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "nid")).alias("y")
+    # dealt by value once: for the extremes, and for the join with them
+    keyed = nodes.select(F.expr("nid * 64 + code").alias("row"), F.explode("prefix").alias("key")).repartition("key")
+    several = keyed.groupBy("key").agg(F.min("row").alias("low"), F.max("row").alias("high")).filter("low != high").select("key")
+    shared = scratch(keyed.join(several, "key").select("key", F.expr("row div 64").alias("nid"), F.expr("row % 64").alias("code")), "shared")
+    gid = F.when(F.col("root").isNull(), F.col("nid")).otherwise(-F.abs(F.xxhash64("root")) - 1)  # below all nids
+    gids = nodes.select("nid").join(roots.withColumnRenamed("node", "nid"), "nid", "left").select("nid", gid.alias("gid"))
+    # a row meets rows of its class, and those of the class below if one of them can be large enough
+    own = F.expr("code div 2").cast("int")
+    classes = F.when(F.col("code") % 2 == 1, F.array(own, own - 1)).otherwise(F.array(own))
+    rows = scratch(shared.join(gids, "nid").select("key", "nid", "gid", F.explode(classes).alias("class")), "classes")
+    blocks = rows.groupBy("key", "class").agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("nid")).alias("x"), F.bit_xor(F.xxhash64(F.lit(7), "nid")).alias("y"),
+        F.min("gid").alias("low"), F.max("gid").alias("high"),
     )
-    blocks = blocks.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")
-    dealt = scratch(tiles(keyed.join(blocks, "key"), ["key"], "nid").join(slim.select("nid", "node"), "nid").select("tile", "node"), "dealt")
-    sets = table.join(dealt.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    edges = scratch(_similar(dealt.join(sets, "node"), similarity), "missed")
-    for done in (slim, shared, keyed, dealt):
-        drop_scratch(done)
+    blocks = blocks.filter("low != high").groupBy("n", "x", "y", "class").agg(F.min("key").alias("key")).select("key", "class")
+    dealt = tiles(rows.join(blocks, ["key", "class"]).withColumn("width", F.col("class")), ["key", "class"], "nid").withColumnRenamed("width", "class")
+    near = scratch(_near_rows(dealt.join(nodes.select("nid", "size", "bits"), "nid"), similarity), "near")
+    edges = scratch(_similar(near.join(_sets(texts, nodes, near, shingle), "nid"), similarity), "missed")
+    drop_scratch(shared, rows, near)
     return edges
 
 
-def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without near copies: of each group one row stays, that with the smallest id (null ids come last).
+def near_links(docs: DataFrame, text: str = "text", shingle: int = 5, similarity: float = 0.8) -> tuple[DataFrame, DataFrame]:
+    """(nodes, roots): a row for each different text, with `node` (see node_of) and `nid`, and (node: nid, root) of all that have a link.
 
-    Two texts are linked if the Jaccard similarity of their sets of word shingles is `similarity` or more;
-    groups are the connected components. A first pass ties most copies: blocks are the smallest values of
-    KEYS hash orders of the shingles; in a block, 256-bit SimHash fingerprints are compared bit-sliced
-    within the radius that `similarity` implies plus four deviations, and the shingle sets (32-bit hashes)
-    of what is left decide. A second pass finds every link that is missing among these groups, by the
-    shingles' prefixes in one order (common shingles last), which no pair of that similarity escapes.
-    Equal texts are one node from the start. Of rows equal in id and text one stays. Texts without words are
-    copies of each other.
+    Two texts are linked if the Jaccard similarity of their sets of word shingles, told by 64-bit hashes, is
+    `similarity` or more. A first pass ties most copies: blocks are the smallest values of KEYS hash orders
+    of the shingles; in a block, 128-bit SimHash prints are compared bit-sliced within the radius that
+    `similarity` implies plus four deviations, and the shingle sets of what is left decide. A second pass
+    finds every link that is missing among these groups, by the shingles' prefixes in one order (common
+    shingles last), which no pair of that similarity escapes; parity prints, compared bit-sliced as well,
+    exclude most pairs for certain, and the sets decide on the rest.
     """
     ready_python(docs.sparkSession)
-    bits = 256
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = math.ceil(bits * p + 4 * math.sqrt(bits * p * (1 - p)))
-
     whole = text_of(F.col(f"`{text}`"))
     common = common_shingles(docs, whole, shingle)
     order = np.argsort(common)
     common, places = common[order], order + 1
 
-    @F.arrow_udf("struct<keys:array<long>,prefix:array<long>,print:binary,shingles:binary>")
+    kind = pa.struct([
+        ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("print", pa.binary()), ("size", pa.int32()), ("code", pa.int32()), ("bits", pa.binary()),
+    ])
+
+    @F.arrow_udf("struct<keys:array<long>,prefix:array<long>,print:binary,size:int,code:int,bits:binary>")
     def sketch(texts: pa.Array) -> pa.Array:
-        rows = []
+        rows, words = [], _WordHashes()
         for t in texts.to_pylist():
-            h = np.unique(shingle_hashes(t, shingle))
+            h = shingle_set(t, shingle, words)
             late = np.zeros(len(h), np.int64)
             if len(common):
                 at = np.minimum(np.searchsorted(common, h), len(common) - 1)
                 late = np.where(common[at] == h, places[at], 0)
-            first = np.lexsort((h, late))[: prefix_size(len(h), similarity)] if len(h) else []
+            first = np.argsort(late, kind="stable")[: prefix_size(len(h), similarity)] if len(h) else []
+            c = class_of(len(h))
+            below = c > LEAST_CLASS and similarity * len(h) <= (1 << c - 1) + 1e-6
             rows.append({
-                "prefix": h[first].view(np.int64) if len(h) else [],
                 "keys": [int(mix(h, k).min().view(np.int64)) for k in range(1, KEYS + 1)] if len(h) else [],
-                "print": b"".join(majority(mix(h, 100 + k)) for k in range(bits // 64)),
-                "shingles": np.unique(h.astype(np.uint32)).tobytes(),
+                "prefix": h[first].view(np.int64) if len(h) else [],
+                "print": b"".join(majority(mix(h, 100 + k)) for k in range(PRINT_WORDS)),
+                "size": len(h), "code": 2 * c + below, "bits": parity(h, 1 << c),
             })
-        return pa.array(rows, pa.struct([("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int64())), ("print", pa.binary()), ("shingles", pa.binary())]))
-
-    node = F.md5(F.when(F.btrim(whole, F.lit(WHITE)) == "", "").otherwise(whole))  # one node for all texts without words
-    sketched = docs.select(F.col(f"`{id_col}`").alias("id"), node.alias("node"), sketch(whole).alias("s"))
-    table = scratch(sketched.select("id", "node", "s.*"), "sketches")
-    keyed = table.select("node", F.posexplode("keys").alias("order", "key")).distinct()
-    payload = table.groupBy("node").agg(F.first("print").alias("print"), F.first("shingles").alias("shingles"))
-    dealt = tiles(keyed, ["order", "key"], "node").join(payload, "node")
-    roots = scratch(components(_links(dealt, "node", radius, similarity)), "roots")
-    missed = _missed(table, roots, similarity)
+        return pa.array(rows, kind)
+
+    texts = docs.select(node_of(whole).alias("node"), whole.alias("text"))
+    one = texts.select("node", sketch("text").alias("s")).groupBy("node").agg(F.first("s").alias("s"))
+    nodes = scratch(one.select(F.monotonically_increasing_id().alias("nid"), "node", "s.*"), "nodes")
+    first = _first_links(nodes, texts, shingle, similarity)
+    roots = scratch(components(first), "roots")
+    missed = _missed_links(nodes, texts, roots, shingle, similarity)
     if not missed.isEmpty():
-        roots = scratch(components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed)), "roots")
-    named = table.select("id", "node").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    first = named.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"), F.col("node"))).alias("s"))
-    stays = first.select(F.col("s.node").alias("near_node"), F.col("s.id").alias("near_id"))
+        tied = roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+        roots = scratch(components(tied.unionByName(missed)), "roots")
+    drop_scratch(first, missed)
+    return nodes, roots
+
+
+def node_of(text: Column) -> Column:
+    """Equal for equal texts; all texts without words are one."""
+    return F.md5(F.when(F.btrim(text, F.lit(WHITE)) == "", "").otherwise(text))
+
+
+def near_dedup(docs: DataFrame, id_col: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """docs without near copies: of each group one row stays, that with the smallest id (null ids come last).
+
+    Groups are the connected components of near_links(). Equal texts are one node from the start. Of rows
+    equal in id and text one stays. Texts without words are copies of each other.
+    """
+    nodes, roots = near_links(docs, text, shingle, similarity)
+    node = node_of(text_of(F.col(f"`{text}`")))
+    ids = scratch(docs.select(F.col(f"`{id_col}`").alias("id"), node.alias("node")), "ids")
+    least = ids.groupBy("node").agg(F.min(F.struct(F.col("id").isNull().alias("none"), F.col("id"))).alias("s"))
+    named = least.join(nodes.select("node", "nid"), "node").join(roots.withColumnRenamed("node", "nid"), "nid", "left")
+    first = named.groupBy(F.coalesce("root", "nid").alias("root")).agg(F.min(F.struct("s.none", "s.id", "node")).alias("s"))
+    stays = first.select(F.col("s.node").alias("node"), F.col("s.id").alias("id"), F.lit(True).alias("stays"))
+    gone = ids.distinct().join(stays, (ids["node"] == stays["node"]) & ids["id"].eqNullSafe(stays["id"]), "left_anti")
+    gone = small(scratch(gone.select(F.col("node").alias("near_node"), F.col("id").alias("near_id")), "gone"))
     own = free_name(docs, "near_text")
     out = docs.withColumn(own, node)
-    out = out.join(stays, (out[own] == stays["near_node"]) & out[id_col].eqNullSafe(stays["near_id"]), "left_semi")
-    if not table.groupBy("id", "node").count().filter("count > 1").isEmpty():  # repeated rows
+    out = out.join(gone, (out[own] == gone["near_node"]) & out[id_col].eqNullSafe(gone["near_id"]), "left_anti")
+    if not ids.groupBy("id", "node").count().filter("count > 1").isEmpty():  # repeated rows
         out = out.dropDuplicates([id_col, own])
     return out.drop(own)

@@ -154,6 +154,38 @@ def test_near_dedup_finds_short_copies(spark):
     assert sorted(r["doc_id"] for r in out.collect()) == list(range(0, 1200, 2))
 
 
+def test_parity_prints_exclude_no_similar_pair():
+    rng = np.random.default_rng(9)
+    for n in (1, 5, 60, 64, 65, 130, 500, 9000):
+        for m in {n, n + 1, int(n / 0.8)}:
+            both = -(-4 * (n + m) // 9)  # the least that are 0.8 alike
+            if both <= min(n, m):
+                pool = rng.integers(0, 2**63, n + m - both, dtype=np.uint64)
+                a, b = pool[:n], np.concatenate([pool[:both], pool[n:]])
+                assert both / len(pool) >= 0.8 and len(b) == m
+                own, other = simhash.class_of(n), simhash.class_of(m)
+                least = min(own, other)
+                prints = simhash.folded([simhash.parity(a, 1 << own), simhash.parity(b, 1 << other)], 1 << least)
+                differ = int(np.bitwise_count(prints[0] ^ prints[1]).sum())
+                assert differ <= n + m - 2 * both <= simhash.most_differing(n + m, 0.8)
+                assert abs(own - other) <= 1
+
+
+def test_links_across_blocks_of_many_rows(spark):
+    """A passage of 700 texts fills their prefixes; some of them are near copies of each other."""
+    rng = random.Random(12)
+    passage = [f"p{rng.randrange(10**6)}" for _ in range(30)]
+    rows, want = [], []
+    for k in range(350):
+        own = [f"w{rng.randrange(10**6)}" for _ in range(rng.choice([10, 60]))]
+        end = own[:-1] + ["other"] if k % 3 == 0 else [f"v{rng.randrange(10**6)}" for _ in own]
+        rows += [(2 * k, " ".join(passage + own)), (2 * k + 1, " ".join(passage + end))]
+    sets = [set(shingles(t, 5)) for _, t in rows]
+    want = sorted(set(classes(len(rows), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))))
+    out = simhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(r["doc_id"] for r in out.collect()) == want and 350 < len(want) < 700
+
+
 def test_prefixes_of_similar_sets_meet():
     for n in range(1, 60):
         for m in range(n, 76):
