@@ -40,7 +40,8 @@ CHUNK_BYTES = 8_192
 REVISIT_FROM = 100
 DATE = "2024-01-01T00:00:00Z"
 
-#: Bytes of an archive that are inflated at once, and bytes that a header may have.
+#: Bytes of an archive that are taken at once (what follows a member in them is copied for each), most bytes inflated at once, and bytes of a header.
+SLICE = 1 << 15
 STEP = 1 << 20
 MOST_HEAD = 1 << 23
 NUMBER = re.compile("-?[0-9]{1,18}")
@@ -144,7 +145,7 @@ def inflated(archive: bytes) -> Iterator[bytes]:
     rest, at, member = b"", 0, None
     while True:
         if not rest:
-            rest, at = archive[at : at + STEP], at + STEP
+            rest, at = archive[at : at + SLICE], at + SLICE
         if not rest:
             return
         member = member or zlib.decompressobj(31)
