@@ -3,8 +3,8 @@
 A text is folded (A-Z lower-cased, every ASCII character that is no letter or digit a space) and its words
 are joined by single spaces. A notice of m characters with at most k edits allowed is cut into k + 1 seeds:
 by the pigeonhole principle one of them stands unchanged in every match. All seeds are searched at once
-by an Aho-Corasick automaton; from every word start that a hit allows, a banded edit distance decides over
-all runs of whole words and reports the span and its edits. The number of edits grows with the notice's
+by an Aho-Corasick automaton; from every word start that a hit allows, the regex library's bounded-error
+matching decides over all runs of whole words and gives the span and its edits. The number of edits grows with the notice's
 length. Of overlapping matches of a notice that with the fewest edits is reported, the earliest of equals.
 
 Defined results: a null or empty text has no words, no spans and score 0. Every document is scanned
@@ -21,6 +21,7 @@ from itertools import groupby
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -74,12 +75,15 @@ class Notice:
     label: str
     edits: int = field(init=False)
     seeds: list[tuple[str, int]] = field(init=False)
+    #: The pattern for each number of edits, up to the bound.
+    within: list[regex.Pattern] = field(init=False)
 
     def __post_init__(self):
         self.edits = len(self.text) // CHARS_PER_EDIT
         n = self.edits + 1
         cuts = [len(self.text) * k // n for k in range(n + 1)]
         self.seeds = [(self.text[a:b], a) for a, b in zip(cuts, cuts[1:])]
+        self.within = [regex.compile(f"(?:{regex.escape(self.text)}){{e<={e}}}") for e in range(n)]
 
 
 class Scanner:
@@ -128,36 +132,24 @@ class Scanner:
         found = []
         for k, own in starts.items():
             x = self.notices[k]
-            matches = [(edits, first, last) for first in own for last, edits in ends(folded, first, x.text, x.edits)]
+            matches = [(edits, first, last) for first in own for last, edits in ends(folded, first, x)]
             found += [(first, last, x.label, edits, len(x.text)) for edits, first, last in apart(matches)]
         return sorted(set(found))
 
 
-def ends(folded: str, first: int, notice: str, most: int) -> list[tuple[int, int]]:
-    """(end, edits) of all runs of whole words from `first` on that are `most` edits or fewer off the notice."""
-    size, far = len(notice), most + 1
-    costs = [min(j, far) for j in range(size + 1)]  # edits between the text so far and the first j characters
-    out = []
-    for n in range(min(size + most, len(folded) - first - 1)):
-        char = folded[first + n]
-        if char == " " and n and costs[size] <= most:
-            out.append((first + n, costs[size]))
-        # only so many places off the diagonal can be within the bound
-        lo, hi = max(1, n + 1 - most), min(size, n + 1 + most)
-        corner = costs[lo - 1]
-        left = costs[lo - 1] = n + 1 if lo == 1 and n < most else far
-        least = left
-        for j in range(lo, hi + 1):
-            up = costs[j]
-            left = corner if notice[j - 1] == char else 1 + min(corner, up, left)
-            corner, costs[j] = up, left
-            if left < least:
-                least = left
-        if least > most:
-            return out
-    last = first + min(size + most, len(folded) - first - 1)
-    if folded[last] == " " and last > first and costs[size] <= most:
-        out.append((last, costs[size]))
+def ends(folded: str, first: int, notice: Notice) -> list[tuple[int, int]]:
+    """(end, edits) of all runs of whole words from `first` on that are within the notice's bound of edits.
+
+    The regex library matches each run as a whole, so that no alignment can stop inside a word; the
+    smallest bound that it meets is the number of edits.
+    """
+    size, out = len(notice.text), []
+    last = first + size + notice.edits
+    space = folded.find(" ", first + max(1, size - notice.edits), last + 1)
+    while space >= 0:
+        if notice.within[-1].fullmatch(folded, first, space):
+            out.append((space, next(e for e, p in enumerate(notice.within) if p.fullmatch(folded, first, space))))
+        space = folded.find(" ", space + 1, last + 1)
     return out
 
 
