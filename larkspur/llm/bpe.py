@@ -22,6 +22,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
@@ -59,8 +60,10 @@ def _coder(ranks_file: bytes, pattern: str):
 
 
 @lru_cache(maxsize=4)
-def _bytes_of(ranks_file: bytes) -> dict[int, bytes]:
-    return {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks_file.splitlines())}
+def _bytes_of(ranks_file: bytes) -> pa.Array:
+    """The bytes of each id, at its place; null where there is no such id."""
+    known = {int(b): base64.b64decode(a) for a, b in map(bytes.split, ranks_file.splitlines())}
+    return pa.array([known.get(k) for k in range(max(known) + 1)], pa.binary())
 
 
 class _Pieces(dict):
@@ -184,7 +187,11 @@ def decode(df: DataFrame, vocabulary: Vocabulary, ids: str = "ids", out: str = "
 
     @F.arrow_udf("binary")
     def to_bytes(lists: pa.Array) -> pa.Array:
-        known = _bytes_of(shipped.value)
-        return pa.array([b"".join(map(known.__getitem__, x)) for x in lists.to_pylist()], pa.binary())
+        ids = lists.flatten()
+        tokens = _bytes_of(shipped.value).take(ids)
+        if tokens.null_count:
+            raise KeyError(f"unknown id: {ids.filter(tokens.is_null())[0].as_py()}")
+        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int32)
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(ends), tokens), pa.scalar(b"", pa.binary()))
 
     return df.withColumn(free_name(df, out), to_bytes(F.coalesce(F.col(f"`{ids}`"), F.array().cast("array<int>"))))
