@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from larkspur.llm.common import free_name, ready_python, scratch, text_of
 
 #: Of the shared cache of encoded pieces in a Python worker; it is emptied when full, which changes no result.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 120_000
 #: A match that ends this close to a chunk's end may be longer, or another one, in the whole text.
 MARGIN = 4
 
@@ -56,7 +56,12 @@ GAP = regex.compile(r"\S\s+\S")
 def _coder(ranks_file: bytes, pattern: str):
     ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, ranks_file.splitlines())}
     coder = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-    return _Pieces(coder), regex.compile(pattern)
+    return _Pieces(coder), _pattern(pattern)
+
+
+@lru_cache(maxsize=4)
+def _pattern(pattern: str) -> regex.Pattern:
+    return regex.compile(pattern)
 
 
 @lru_cache(maxsize=4)
@@ -132,7 +137,7 @@ def encode(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", out: str
     @F.arrow_udf("struct<head:array<int>,tail:array<int>>")
     def pretokenise(texts: pa.Array, begin: pa.Array, head: pa.Array, tail: pa.Array) -> pa.Array:
         """Boundaries in the overlaps with the chunks before and after, in code points of the whole text."""
-        (_, pattern), rows = _coder(*shipped.value), []
+        pattern, rows = _pattern(shipped.value[1]), []  # workers that only pre-tokenise hold no ranks
         for t, at, has_head, has_tail in zip(*(x.to_pylist() for x in (texts, begin, head, tail))):
             ends = np.fromiter((m.end() for m in pattern.finditer(t)), np.int32)
             ends = ends[ends <= len(t) - MARGIN] if has_tail else ends
