@@ -142,8 +142,10 @@ def codec_bool(spark, d):
 
 @query("SELECT o_orderkey, lower(printf('%08X', o_orderkey * 7919)) AS value FROM orders")
 def codec_float(spark, d):
-    text = F.lpad(F.hex(F.col("o_orderkey") * 7919), 8, "0")
-    return table(spark, d, "orders").select("o_orderkey", codecs.render("float", codecs.encode("float", text)).alias("value"))
+    # a long's 16 digits are two floats; of the first, the zeros before the number go
+    text = F.lpad(F.hex(F.col("o_orderkey") * 7919), 16, "0")
+    first, last = (codecs.render("float", codecs.encode("float", F.substring(text, k, 8))) for k in (1, 9))
+    return table(spark, d, "orders").select("o_orderkey", F.concat(F.ltrim(first, F.lit("0")), last).alias("value"))
 
 
 @query("SELECT p_partkey, coalesce(CASE WHEN p_partkey % 3 > 0 THEN p_name END, '') AS value, octet_length(encode(coalesce(CASE WHEN p_partkey % 3 > 0 THEN p_name END, ''))) + 2 AS n_bytes FROM part")
